@@ -1,10 +1,14 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, jaccard_join
+from . import bpe, exact_dedup, jaccard_join, mixing, pivots, warc
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op3_warc": warc.op3_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_pivot_index": pivots.op8_pivot_index,
+    "op9_mixing": mixing.op9_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLE = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op3_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
