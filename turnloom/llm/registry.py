@@ -1,10 +1,12 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, jaccard_join, mixing, pivots, warc
+from . import bpe, exact_dedup, jaccard_join, kneser_ney, mixing, pivots, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_warc": warc.op3_warc,
+    "op4_quality": kneser_ney.op4_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pivot_index": pivots.op8_pivot_index,
     "op9_mixing": mixing.op9_mixing,
