@@ -188,13 +188,13 @@ def _sums(shard, first: bool):
                 for i, x in zip(run_, ids, strict=True):
                     total[i] = value[x].sum() if x else 0.0
                     size[i] = length[x].sum() if x and first else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(total), pa.array(size)], names=["row", "doc_id", "logp", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(total), pa.array(size)], names=["row", "doc_id", "lang", "logp", "n_bytes"])
 
     return run
 
 
 def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """row, doc_id, perplexity, n_bytes of docs (row, doc_id, text, lang); null perplexity for texts without words."""
+    """row, doc_id, lang, perplexity, n_bytes of docs (row, doc_id, text, lang); null perplexity for texts without words."""
     spark = docs.sparkSession
     sizes = {r["last"]: r["count"] for r in model.groupBy("last").count().collect()}  # 257 rows at most
     common = sizes.pop(-1, 0)
@@ -214,11 +214,11 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
         if i == 0:
             mine |= ~np.isin(np.arange(256), list(sizes))
         shard = spark.sparkContext.broadcast(Scorer(rows, order, mine))
-        part = docs.select("row", "text", "lang", "doc_id").mapInArrow(_sums(shard, i == 0), "row long, doc_id long, logp double, n_bytes long")
+        part = docs.select("row", "text", "lang", "doc_id").mapInArrow(_sums(shard, i == 0), "row long, doc_id long, lang string, logp double, n_bytes long")
         out = part if out is None else out.union(part)
     if len(shards) > 1:
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("logp").alias("logp"), F.sum("n_bytes").alias("n_bytes"))
-    return out.select("row", "doc_id", F.when(F.col("n_bytes") > 0, F.exp(-F.col("logp") / F.col("n_bytes"))).alias("perplexity"), "n_bytes")
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("logp").alias("logp"), F.sum("n_bytes").alias("n_bytes"))
+    return out.select("row", "doc_id", "lang", F.when(F.col("n_bytes") > 0, F.exp(-F.col("logp") / F.col("n_bytes"))).alias("perplexity"), "n_bytes")
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -233,11 +233,11 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     good, _ = stored(good, "kn-trusted")
     few = F.broadcast(good) if good.count() <= 2_000_000 else good
     model = train(rows.where("text is not null").join(few, "doc_id", "left_semi"), order)
-    scored, _ = stored(perplexity(rows, model, order).join(few.withColumn("trusted", F.lit(True)), "doc_id", "left").join(rows.select(F.col("row").alias("r"), F.col("lang").alias("l")), F.expr("row = r")).drop("r").withColumnRenamed("l", "lang"), "kn-scores")
+    scored, _ = stored(perplexity(rows, model, order).join(few.withColumn("trusted", F.lit(True)), "doc_id", "left"), "kn-scores")
     limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg((F.percentile_approx("perplexity", F.lit(quantile), F.lit(20000)) * margin).alias("threshold"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # one row a language
     kept = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
-    return out.select("row", "doc_id", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", "n_bytes", kept.alias("kept"))
+    return out.select("row", "doc_id", "lang", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", "n_bytes", kept.alias("kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ from . import words
 from .shared import stored
 
 SAMPLE = 5000  # training texts a label, at most: the labelled rows with the smallest hashes
-FEATURES = 4096
+FEATURES = 600
 PREFIXES = (4, 5, 6)
-LEAST_Z = 4.5
-RIDGE = 0.5
+LEAST_Z = 3.5
+RIDGE = 0.2
 SWAP = 2.0  # weight of the counterfactual penalty
 THRESHOLD = 0.7
 #: Groups of terms that may stand for each other.
@@ -153,10 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FEATURES) -> tuple[np.
     if not size.n or not size.n1 or size.n1 == size.n:
         return np.zeros(0, np.uint64), np.array([0.0])
     n, n1 = float(size.n), float(size.n1)
-    c = rows.mapInArrow(_counts, "f long, n1 long, n long").groupBy("f").agg(F.sum("n1").alias("a"), F.sum("n").alias("m")).where("m >= 4")
+    c = rows.mapInArrow(_counts, "f long, n1 long, n long").groupBy("f").agg(F.sum("n1").alias("a"), F.sum("n").alias("m")).where("m >= 3")
     p = F.col("m") / n
     z = (F.col("a") - F.col("m") * (n1 / n)) / F.sqrt(F.col("m") * (n1 / n) * (1 - n1 / n) * (1 - p) + 1e-9)
-    top = c.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(min(most, 600)).select("f").toPandas()["f"]
+    top = c.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(most).select("f").toPandas()["f"]
     keys = np.sort(top.to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return keys, np.array([np.log(n1 / (n - n1))])
