@@ -1,9 +1,10 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, jaccard_join, kneser_ney, line_dedup, mixing, pivots, toxicity, warc
+from . import bpe, chaining, exact_dedup, jaccard_join, kneser_ney, line_dedup, mixing, pivots, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_substring_dedup": chaining.op2_substring_dedup,
     "op3_warc": warc.op3_warc,
     "op4_quality": kneser_ney.op4_quality,
     "op5_line_dedup": line_dedup.op5_line_dedup,
