@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..session import table
 from . import words
-from .shared import components, drop, stored
+from .shared import components, drop, release, stored
 
 K = 5
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be broadcast; more are joined by a shuffle
@@ -157,6 +157,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
     inter = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("inter"))
     links, at = stored(inter.where("100 * inter >= 75 * (total - inter)").select("a", "b"), "jaccard-links")
     drop(docs.sparkSession, sets_at)
+    release(docs.sparkSession)
     return links, at
 
 
@@ -190,9 +191,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lists, lists_at = stored(led.select("token", "id", "n", "room", "leader"), "jaccard-lists")
 
     first = lists.select(F.col("leader.id").alias("a"), F.col("leader.n").alias("n1"), F.col("leader.room").alias("room1"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("room").alias("room2"))
-    first, first_at = stored(first.where(f"a <> b and {_FITS}").select("a", "b").distinct(), "jaccard-pairs")
+    # Of the leaders that a set meets, it is compared with the one it shares most lists with; the rest waits for the second scan.
+    first = first.where(f"a <> b and {_FITS}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    first = first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b")
+    first, first_at = stored(first, "jaccard-pairs")
+    release(spark)
     links, links_at = _linked(docs, first)
-    drop(spark, first_at)
     comp, comp_at = components(links, "jaccard-components")
 
     at = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "room", F.coalesce("comp", "id").alias("comp"))
@@ -206,9 +210,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     one, two = (at.select(F.col("token").alias(f"t{i}"), F.col("comp").alias(f"c{i}"), F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}"), F.col("room").alias(f"room{i}")) for i in (1, 2))
     cross = met.join(one, F.expr("token = t1 and comp1 = c1")).join(two, F.expr(f"token = t2 and comp2 = c2 and {_FITS}"))
     cross = cross.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    cross = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     cross, cross_at = stored(cross, "jaccard-pairs")
     more, more_at = _linked(docs, cross)
-    for p in (at_at, heads_at, cross_at):
+    for p in (at_at, heads_at, cross_at, first_at):
         drop(spark, p)
     if not more.isEmpty():
         comp, _ = components(links.union(more), "jaccard-components")
