@@ -30,6 +30,7 @@ K = 5
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be broadcast; more are joined by a shuffle
 HOT_SHINGLES = 1 << 18  # shingles that are ordered by their counts; the others by their hash
 LIGHT_MOST = 12
+BITS = 4096
 
 
 def need(s: int, t: int) -> int:
@@ -135,12 +136,26 @@ def _postings(hot: np.ndarray, rank: np.ndarray, boundary: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its set, and its parity bitmap: bit j says whether an odd number of elements has the low bits j."""
     for batch in batches:
         ids = batch.column(0)
         for start, norm in words.blocks(batch.column(1).to_pylist()):
             doc, _, h = words.Words(norm).shingles(K)
             flat, off = words.per_doc_unique(doc, h, len(norm))
-            yield pa.RecordBatch.from_arrays([ids.slice(start, len(norm)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["id", "items"])
+            for i in range(0, len(norm), 256):
+                j = min(i + 256, len(norm))
+                part, cuts = flat[off[i] : off[j]], off[i : j + 1] - off[i]
+                at = np.repeat(np.arange(j - i), np.diff(cuts)) * BITS + (part & np.uint64(BITS - 1)).astype(np.int64)
+                odd = (np.bincount(at, minlength=(j - i) * BITS) & 1).astype(bool)
+                bits = np.packbits(odd).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(start + i, j - i),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(part.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * (BITS // 64)).astype(np.int32)), pa.array(bits)),
+                    ],
+                    names=["id", "items", "bits"],
+                )
 
 
 def among(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -150,14 +165,24 @@ def among(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
-    """Of the candidate pairs (a, b), those that link."""
+    """Of the candidate pairs (a, b), those that link.
+
+    The bitmaps of two sets differ in at most |A| + |B| - 2 |A n B| bits, so linked sets have |A| + |B| >= 7 times the bits that differ.
+    Only pairs that pass this exact bound are joined with the sets themselves."""
+    spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets, sets_at = stored(among(docs, ids).mapInArrow(_sets, "id long, items array<long>"), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    sets, sets_at = stored(among(docs, ids).mapInArrow(_sets, "id long, items array<long>, bits array<long>"), "jaccard-sets")
+    small = sets.select("id", F.size("items").alias("n"), "bits")
+    near = pairs.join(small.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a").join(small.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    near, near_at = stored(near.where(F.col("n1") + F.col("n2") >= 7 * apart).select("a", "b"), "jaccard-near")
+    some = among(sets.select(F.col("id").alias("doc_id"), "items"), near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
+    both = near.join(some.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     inter = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("inter"))
     links, at = stored(inter.where("100 * inter >= 75 * (total - inter)").select("a", "b"), "jaccard-links")
-    drop(docs.sparkSession, sets_at)
-    release(docs.sparkSession)
+    drop(spark, sets_at)
+    drop(spark, near_at)
+    release(spark)
     return links, at
 
 
