@@ -31,6 +31,7 @@ BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be broadcast; more are
 HOT_SHINGLES = 1 << 18  # shingles that are ordered by their counts; the others by their hash
 LIGHT_MOST = 12
 BITS = 4096
+COUNTED = 6_000_000  # shingles of a task that are counted together in search of frequent ones
 
 
 def need(s: int, t: int) -> int:
@@ -60,7 +61,13 @@ def choose_boundary(histogram: dict[int, int]) -> int:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and class; per task the shingles that are frequent in it."""
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting, held = [], 0
+
+    def frequent() -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(waiting), return_counts=True)
+        u, c = u[c > 2], c[c > 2].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(c), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64))], names=["doc_id", "n", "cls", "hot"])
+
     for batch in batches:
         ids = batch.column(0)
         for start, norm in words.blocks(batch.column(1).to_pylist()):
@@ -74,18 +81,17 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls = np.zeros(len(norm), np.uint64)
             if len(flat):
                 cls[n > 0] = np.add.reduceat(part, off[:-1][n > 0])
-            u, c = np.unique(flat, return_counts=True)
-            seen.append((u[c > 1], c[c > 1]))
+            waiting.append(flat)
+            held += len(flat)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(start, len(norm)), pa.array(n), pa.array(cls.view(np.int64)), pa.nulls(len(norm), pa.int64())],
                 names=["doc_id", "n", "cls", "hot"],
             )
-    if seen:
-        h, c = (np.concatenate(x) for x in zip(*seen, strict=True))
-        u, at = np.unique(h, return_inverse=True)
-        total = np.bincount(at, weights=c, minlength=len(u)).astype(np.int64) if len(u) else np.zeros(0, np.int64)
-        u, total = u[total > 3], total[total > 3]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(total), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64))], names=["doc_id", "n", "cls", "hot"])
+            if held >= COUNTED:
+                yield frequent()
+                waiting, held = [], 0
+    if held:
+        yield frequent()
 
 
 def _postings(hot: np.ndarray, rank: np.ndarray, boundary: int):
@@ -228,12 +234,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     at, at_at = stored(at, "jaccard-lists")
     drop(spark, lists_at)
     several = at.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    heads = at.join(several, "token", "left_semi").groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    heads = at.join(several, "token", "left_semi").groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.count(F.lit(1)).alias("size"))
     heads, heads_at = stored(heads, "jaccard-heads")
-    x, y = (heads.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("comp", "low", "high")]) for i in (1, 2))
-    met = x.join(y, (x.token == y.token) & F.expr("comp1 < comp2 and high1 * 4 >= low2 * 3 and high2 * 4 >= low1 * 3")).select(x.token, "comp1", "comp2")
+    x, y = (heads.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("comp", "low", "high", "room", "size")]) for i in (1, 2))
+    met = x.join(y, (x.token == y.token) & F.expr("comp1 < comp2 and high1 * 4 >= low2 * 3 and high2 * 4 >= low1 * 3 and 7 * least(room1, room2) >= 3 * (low1 + low2)"))
+    # The component with fewer members in the list is expanded first, and only so far as the other's bounds allow.
+    turn = F.col("size1") <= F.col("size2")
+    pick = lambda c: (F.when(turn, F.col(f"{c}1")).otherwise(F.col(f"{c}2")), F.when(turn, F.col(f"{c}2")).otherwise(F.col(f"{c}1")))
+    met = met.select(x.token, pick("comp")[0].alias("comp1"), pick("comp")[1].alias("comp2"), pick("low")[1].alias("low2"), pick("high")[1].alias("high2"), pick("room")[1].alias("most2"))
     one, two = (at.select(F.col("token").alias(f"t{i}"), F.col("comp").alias(f"c{i}"), F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}"), F.col("room").alias(f"room{i}")) for i in (1, 2))
-    cross = met.join(one, F.expr("token = t1 and comp1 = c1")).join(two, F.expr(f"token = t2 and comp2 = c2 and {_FITS}"))
+    cross = met.join(one, F.expr("token = t1 and comp1 = c1 and n1 * 4 >= low2 * 3 and high2 * 4 >= n1 * 3 and 7 * least(room1, most2) >= 3 * (n1 + low2)")).join(two, F.expr(f"token = t2 and comp2 = c2 and {_FITS}"))
     cross = cross.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     cross = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     cross, cross_at = stored(cross, "jaccard-pairs")
