@@ -44,6 +44,8 @@ def dedup_stream(rows: DataFrame, out: str, checkpoint: str) -> None:
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state partition sets aside tens of MB
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     }
     for k, v in wanted.items():
         old[k] = conf.get(k, None)

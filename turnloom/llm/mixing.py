@@ -25,7 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 ROUNDS = 40
-CELL = 4096  # documents ranked together for the extra copies
+CELL = 256  # documents ranked together for the extra copies
 
 
 def word_count(text) -> F.Column:
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(per document doc_id, size, source_size, target, taken, copies and pick; per source its target).
 
     Null texts have size 0 and are never copied; a null source is a source of its own, the last. A null doc_id and repeated rows are
-    documents like any other. An empty table, or one without words, gives targets of 0. Other columns are not read."""
+    documents like any other. Copies are whole, so a source's words may miss its target by half of its shortest document. An empty table, or one without words, gives targets of 0. Other columns are not read."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     d, _ = stored(d, "mix-sizes")
