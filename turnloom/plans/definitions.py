@@ -18,7 +18,7 @@ def both(name: str, text: str) -> None:
 # Intervals
 OVER = "least(l_end, r_end) - greatest(l_start, r_start)"
 both("overlap_pairs", f"SELECT rec, l_id, r_id, round({OVER}, 6) AS seconds FROM #PAIRS p WHERE l_id < r_id AND l_speaker <> r_speaker")
-both("overlap_report", f"""SELECT t.rec, t.speaker, @BIG(count(*)) AS turns, round(sum(t.#END - t.start), 6) AS seconds, @BIG(sum(coalesce(o.n, 0))) AS overlaps, round(avg(1 - coalesce(o.worst, 0)), 6) AS quality
+both("overlap_report", f"""SELECT t.rec, t.speaker, @BIG(count(*)) AS turns, round(sum(t.#END - t.start), 6) AS seconds, @BIG(sum(coalesce(o.n, 0))) AS n_overlaps, round(avg(1 - coalesce(o.worst, 0)), 6) AS quality
  FROM $turns t LEFT JOIN (SELECT l_id, count(*) AS n, max(least(1, ({OVER}) / (l_end - l_start))) AS worst FROM #PAIRS p WHERE l_speaker <> r_speaker GROUP BY l_id) o ON t.id = o.l_id GROUP BY t.rec, t.speaker""")
 both("interval_iou", f"SELECT l_id, r_id, round(({OVER}) / (greatest(l_end, r_end) - least(l_start, r_start)), 6) AS iou FROM #PAIRS p WHERE l_id < r_id")
 both("cannot_link_edges", "SELECT DISTINCT rec, least(l_id, r_id) AS a, greatest(l_id, r_id) AS b FROM #PAIRS p WHERE l_speaker <> r_speaker")
