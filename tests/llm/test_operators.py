@@ -175,7 +175,7 @@ def test_kneser_ney_sums_to_one_and_rejects_junk(spark):
     kept = {r.doc_id: r.kept for r in kneser_ney.quality(docs, labels).collect()}
     assert all(kept[i] for i in range(20)) and not kept[100] and not kept[101] and kept[102]
     model = kneser_ney.train(docs.where("doc_id < 20").select("text", "lang"))
-    rows = model.toPandas()
+    rows = model.toArrow()
     s = kneser_ney.Scorer(rows, kneser_ney.ORDER, np.ones(256, bool))
     for context in (b"the", b"m", b"", b"zz"):  # probabilities of whatever may follow a context sum to one
         key = int.from_bytes((b"\0" * 4 + context)[-4:], "big") << 8

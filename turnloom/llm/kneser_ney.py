@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,12 +133,18 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 class Scorer:
     """One shard of the model in sorted arrays."""
 
-    def __init__(self, rows: pd.DataFrame, order: int, lasts: np.ndarray):
+    def __init__(self, rows: pa.Table, order: int, lasts: np.ndarray):
+        """rows: lang, key, level, value."""
         self.order, self.lasts = order, lasts
         self.at: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for (lang, level), g in rows.groupby(["lang", "level"]):
-            i = np.argsort(g["key"].to_numpy())
-            self.at[(lang, level)] = g["key"].to_numpy()[i], g["value"].to_numpy(np.float32)[i]
+        langs = rows["lang"].combine_chunks().dictionary_encode()
+        names, lang = langs.dictionary.to_pylist(), np.asarray(langs.indices)
+        key, level, value = (np.asarray(rows[c]) for c in ("key", "level", "value"))
+        for k, name in enumerate(names):
+            for n in np.unique(level[lang == k]).tolist():
+                at = np.flatnonzero((lang == k) & (level == n))
+                at = at[np.argsort(key[at])]
+                self.at[(name, n)] = key[at], value[at].astype(np.float32)
 
     def find(self, lang: str, level: int, key: np.ndarray) -> np.ndarray:
         """The value of each key, NaN where there is none."""
@@ -208,7 +213,7 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
         room -= n
     out = None
     for i, lasts in enumerate(shards):
-        rows = model.where(F.col("last").isin([-1, *lasts])).select("lang", "key", "level", "value").toPandas()
+        rows = model.where(F.col("last").isin([-1, *lasts])).select("lang", "key", "level", "value").toArrow()
         mine = np.zeros(256, bool)
         mine[lasts] = True
         if i == 0:
