@@ -1,4 +1,6 @@
-"""The corpus pipeline: quality, exact and near duplicates, mixing, tokens. Each stage is one operator of the llm subpackage, applied in full."""
+"""The corpus pipeline: quality, exact and near duplicates, mixing, tokens. Each stage is one operator of the llm subpackage, applied in full.
+
+Decisions are joined back by doc_id: a row without doc_id is dropped by the first stage, and rows that share a doc_id stay or go together."""
 
 from __future__ import annotations
 
