@@ -61,27 +61,41 @@ def query(name: str, sql: str, duck: str | None = None) -> None:
     ENTRIES[name] = sql, duck or sql
 
 
-def run(name: str):
-    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made: set[str] = set()
+def _resolver(spark: SparkSession, sf_dir: str):
+    """Text with $names replaced by temporary views of driver tables and of the model's tables, made on first use."""
+    made: set[str] = set()
+
+    def resolve(text: str) -> str:
+        for v in sorted(set(re.findall(r"\$(\w+)", text))):
+            if v not in made:
+                made.add(v)
+                df = table(spark, sf_dir, v) if v in TABLES else spark.sql(resolve(expand(SPARK[v], 0)))
+                df.createOrReplaceTempView(f"turnloom_{v}")
+        return re.sub(r"\$(\w+)", r"turnloom_\1", text)
+
+    return resolve
+
 
-        def resolve(text: str) -> str:
-            for v in sorted(set(re.findall(r"\$(\w+)", text))):
-                if v not in made:
-                    made.add(v)
-                    df = table(spark, sf_dir, v) if v in TABLES else spark.sql(resolve(expand(SPARK[v], 0)))
-                    df.createOrReplaceTempView(f"turnloom_{v}")
-            return re.sub(r"\$(\w+)", r"turnloom_\1", text)
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the model's tables."""
+    return spark.sql(_resolver(spark, sf_dir)(f"SELECT * FROM ${name}"))
 
-        return spark.sql(resolve(expand(ENTRIES[name][0], 0)))
+
+def run(name: str):
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(_resolver(spark, sf_dir)(expand(ENTRIES[name][0], 0)))
 
     plan.__name__ = name
     return plan
 
 
 def oracle(name: str) -> str:
+    return statement(ENTRIES[name][1])
+
+
+def statement(text: str) -> str:
     """The statement for the SQL oracle, with the views it needs as common table expressions."""
-    body, ctes, seen = expand(ENTRIES[name][1], 1), [], set()
+    body, ctes, seen = expand(text, 1), [], set()
 
     def need(text: str) -> None:
         for v in re.findall(r"\$(\w+)", text):
@@ -101,12 +115,14 @@ def oracle(name: str) -> str:
 
 
 def queries() -> dict:
+    from ..operators import kernels
     from . import definitions  # noqa: F401  registers the entries
 
-    return {n: run(n) for n in ENTRIES}
+    return {n: run(n) for n in ENTRIES} | kernels.QUERIES
 
 
 def oracles() -> dict[str, str]:
+    from ..operators import kernels
     from . import definitions  # noqa: F401
 
-    return {n: oracle(n) for n in ENTRIES}
+    return {n: oracle(n) for n in ENTRIES} | {n: statement(sql) for n, sql in kernels.ORACLE.items()}

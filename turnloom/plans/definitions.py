@@ -153,7 +153,7 @@ q("lineage_topk", f"SELECT label, id FROM (SELECT label, id, row_number() OVER (
 q("evidence_precision", f"SELECT label, round(1 / (1 + avg(acos(cosine)) / pi()), 6) AS precision_route FROM ({P}) p WHERE id <> other GROUP BY label")
 q("effective_support", "SELECT label, round(sum(least(1, @NORM(v))), 5) AS support FROM $voices GROUP BY label")
 q("state_size", "SELECT label, @BIG(sum(8 * size(v))) AS bytes FROM $voices GROUP BY label", "SELECT label, CAST(sum(8 * len(v)) AS bigint) AS bytes FROM $voices GROUP BY label")
-q("inactive_labels", "SELECT DISTINCT v.label FROM $voices v LEFT JOIN (SELECT DISTINCT label FROM $voices WHERE id % 7 = 0) m ON v.label = m.label WHERE m.label IS NULL")
+q("inactive_labels", "SELECT DISTINCT v.label FROM $voices v LEFT JOIN (SELECT label FROM $voices GROUP BY label HAVING count(*) >= 50) m ON v.label = m.label WHERE m.label IS NULL")
 
 # Text
 NORMAL = "@REPLACE(replace(lower(text), 'ß', 'ss'), '[\\\\p{P}\\\\p{S}\\\\s]', '')"
@@ -186,7 +186,7 @@ text("snapshot_dedupe", "SELECT DISTINCT rec, label, start_ms, end_ms FROM $snap
 
 # Selection and sharding
 q("shard_select", "SELECT rec, place FROM (SELECT rec, @BIG(row_number() OVER (ORDER BY rec) - 1) AS place FROM (SELECT DISTINCT rec FROM $dialog) d) s WHERE place % 4 = 1")
-q("prune_sessions", "SELECT rec FROM (SELECT rec, row_number() OVER (ORDER BY rec DESC) AS r FROM (SELECT DISTINCT rec FROM $dialog) d) s WHERE r > 10 AND rec % 7 <> 0")
+q("prune_sessions", "SELECT rec FROM (SELECT rec, row_number() OVER (ORDER BY rec DESC) AS r FROM (SELECT DISTINCT rec FROM $dialog) d) s WHERE r > 10")
 q("manifest_scan", "SELECT rec, max(end_ms) AS duration_ms, @BIG(count(*)) AS segments FROM $dialog GROUP BY rec")
 q("orders_rollup", "SELECT o_orderpriority, @BIG(count(*)) AS n, round(sum(o_totalprice), 2) AS total FROM $orders GROUP BY o_orderpriority")
 q("owner_lookup", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM $orders) o WHERE r = 1")
