@@ -4,11 +4,14 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 
 from turnloom.functions import turns as T
+from turnloom.functions import voices
 from turnloom.functions.matching import assign
 from turnloom.functions.turns import Turn
+from turnloom.streaming.binding import Binder, Heard
 from turnloom.streaming.ledger import Ledger, stable_id
 from turnloom.streaming.replay import Replay, revision_ledger, shown, snapshots, stream_ledger
 
@@ -132,9 +135,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert revision_ledger(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_voice_evidence():
+    a, b = np.array([1.0, 0.0]), np.array([0.6, 0.8])
+    assert voices.view_starts(0, 1) == [0] and voices.view_starts(0, 4.5) == [0, 1.5, 3] and len(voices.view_starts(0, 99)) == 4
+    assert voices.unit(None) is None and voices.unit([0, 0]) is None and voices.unit([1, None]) is None and voices.unit([]) is None
+    mid, spread = voices.medoid([a, b, voices.unit([1, 0.3])])
+    assert mid[1] == pytest.approx(voices.unit([1, 0.3])[1]) and spread > 0 and voices.medoid([a])[1] == pytest.approx(np.pi / 3)
+    assert voices.precision(1, 3, 1.5, np.pi) == 0.5
+    assert voices.profile_score([a], a, [a, b]) == pytest.approx(0.7 + 0.3 * 0.8)
+
+
+def test_constrained_choice_is_best():
+    rng = random.Random(9)
+    for _ in range(200):
+        rows = [f"r{i}" for i in range(rng.randrange(1, 5))]
+        cand = {r: {f"c{j}": rng.randrange(6) for j in range(4)} for r in rows}
+        apart = [p for p in itertools.combinations(rows, 2) if rng.random() < 0.5]
+        fits = [dict(zip(rows, c, strict=True)) for c in itertools.product(*[sorted(cand[r]) for r in rows])]
+        fits = [f for f in fits if all(f[x] != f[y] for x, y in apart)]
+        assert voices.constrained(cand, apart) == min(fits, key=lambda f: (-sum(cand[r][c] for r, c in f.items()), tuple(f[r] for r in rows)))
+    with pytest.raises(ValueError):
+        voices.constrained({"a": {"x": 1.0}, "b": {"x": 1.0}}, [("a", "b")])
+
+
+def test_binding_keeps_labels_and_follows_voices():
+    x, y = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    b = Binder()
+    assert b.take([Heard(0, 0, 2, "S01", x), Heard(1, 2, 4, "S02", y)]) == {0: "Speaker 1", 1: "Speaker 2"}
+    assert b.take([Heard(2, 4, 6, "S02", x), Heard(3, 6, 8, "S01", y)]) == {2: "Speaker 1", 3: "Speaker 2"}  # labels swapped, voices not
+    assert b.take([Heard(4, 9, 11, "S09", -x)]) == {4: "Speaker 3"} and b.take([Heard(5, 30, 30.5, "S01", None)]) == {5: "Speaker 4"}
+    assert b.take([]) == {}
+
+
 def test_kernel_queries(spark):
     from turnloom.operators.kernels import QUERIES
 
     got = {n: f(spark, AT).count() for n, f in QUERIES.items()}
     assert got["parser_agreement"] == 0
     assert got["parse_transcript"] and got["text_similarity"] and got["assignment"] and got["revision_ledger"]
+    from turnloom.plans import catalog
+
+    assert got["speaker_binding_fixed_cosine"] == catalog.view(spark, AT, "dialog").count()

@@ -14,7 +14,7 @@ from ..functions import turns as T
 from ..functions.matching import assign
 from ..plans import catalog
 from ..session import table
-from ..streaming import replay
+from ..streaming import binding, replay
 
 # Types, not texts: a text is parsed by a running Spark, which an import may not need.
 TURNS = ArrayType(StructType([StructField("start", DoubleType()), StructField("end", DoubleType()), StructField("speaker", StringType()), StructField("text", StringType())]))
@@ -107,6 +107,14 @@ def revision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.revision_ledger(_view(spark, sf_dir, "dialog"))
 
 
-QUERIES = {f.__name__: f for f in (parse_transcript, parser_agreement, text_similarity, repetition_loop, marker_text_loop, assignment, revision_ledger)}
+def speaker_binding_fixed_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lasting labels of the dialog's turns. A turn's voice is the vector numbered 4 rec + turn; a turn without one has none."""
+    turns = _view(spark, sf_dir, "dialog").alias("d").join(_view(spark, sf_dir, "voices").alias("v"), F.expr("v.id = d.rec * 4 + d.turn"), "left")
+    tick = F.ceil(F.col("end_ms") / 2000)
+    return binding.bind(turns.select("rec", tick.alias("tick"), F.col("turn").cast("long").alias("turn"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("d.label").alias("local"), F.col("v").alias("voice")))
+
+
+_ALL = (parse_transcript, parser_agreement, text_similarity, repetition_loop, marker_text_loop, assignment, revision_ledger, speaker_binding_fixed_cosine)
+QUERIES = {f.__name__: f for f in _ALL}
 #: The grammar read back what was rendered: the dialog itself, without turns whose text is blank.
 ORACLE = {"parse_transcript": "SELECT rec, turn, CAST(0 AS integer) AS place, start_ms, end_ms, label AS speaker, sha256(trim(text)) AS text_sha FROM $dialog WHERE trim(text) <> ''"}
