@@ -194,6 +194,21 @@ def test_kneser_ney_sums_to_one_and_rejects_junk(spark):
         assert abs(total - 1) < 1e-4
 
 
+def test_kneser_ney_sees_word_order_and_repetition(spark):
+    rng = random.Random(8)
+    pick = lambda *ws: rng.choice(ws)
+    sentence = lambda: f"the {pick('old', 'small', 'red')} {pick('cat', 'dog', 'bird')} {pick('sat', 'slept', 'sang')} on the {pick('mat', 'tree', 'roof')} with a {pick('friend', 'hat', 'song')} ."
+    text = lambda: " ".join(sentence() for _ in range(12))
+    good = [(i, text(), "en") for i in range(80)]
+    shuffled = text().split()
+    rng.shuffle(shuffled)
+    other = [(100, " ".join(shuffled), "en"), (101, "the " * 100, "en"), (102, " ".join(f"{w} " * 30 for w in ("cat", "on", "mat")), "en"), (103, text(), "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.quality(frame(spark, good + other), labels).collect()}
+    assert [got[i].kept for i in range(100, 104)] == [False, False, False, True]
+    assert got[100].perplexity > 2 * got[103].perplexity
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     filler = [f"w{i}" for i in range(50)]

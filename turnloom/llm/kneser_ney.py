@@ -1,6 +1,12 @@
 """Interpolated modified Kneser-Ney model of trusted text, and the perplexity of every document under it.
 
-The model is over the bytes of words, each closed by a space, with contexts that do not reach beyond the word's start; a language has a
+The model is over pairs of words: a word's probability depends on the word before it, backs off to the number of different words that it
+follows, and from there to a Kneser-Ney model of its bytes, which every word has a probability under. Pairs are counted by sharded
+aggregations and looked up by joins on 64-bit hashes of language and words; no text and no table of words is broadcast. Every text is scored
+by words that it was not counted in: a trusted text is scored by a model of the other half of trusted texts, so that the threshold, which
+comes from trusted texts, is one for texts that the model has not seen.
+
+The base is over the bytes of words, each closed by a space, with contexts that do not reach beyond the word's start; a language has a
 model of its own. Counts come from all trusted text: every task counts the words it reads, takes apart each different word once, and the
 n-gram counts are summed by sharded aggregations. Continuation counts, discounts (three an order, from the counts of counts), context sums
 and back-off weights are all joins and aggregations on the n-gram key. An n-gram of up to 7 bytes is packed into one integer, so no two
@@ -11,6 +17,7 @@ bounded size is sent to the tasks, which score each different word of a block on
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -20,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import words
 from .shared import drop, stored
 
 ORDER = 5
@@ -80,6 +88,17 @@ def _tally(order: int):
     return run
 
 
+OFF = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """rl, d1, d2, d3: per language what is taken from n-grams seen once, twice and more often. counts: lang, n."""
+    r = counts.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"r{i}") for i in (1, 2, 3, 4)])
+    y = F.col("r1") / F.greatest(F.col("r1") + 2 * F.col("r2"), F.lit(1.0))
+    d = [F.greatest(F.lit(0.1 * i), F.least(F.lit(0.95 * i), i - (i + 1) * y * F.col(f"r{i + 1}") / F.greatest(F.col(f"r{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
+    return r.select(F.col("lang").alias("rl"), *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
+
+
 def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """The model as a table: lang, key, level, logp, back. trusted: text, lang (not null).
 
@@ -97,12 +116,9 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     parts = []
     for k in range(1, order + 1):
         t = levels[k][0]
-        r = t.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"r{i}") for i in (1, 2, 3, 4)])
-        y = F.col("r1") / F.greatest(F.col("r1") + 2 * F.col("r2"), F.lit(1.0))
-        d = [F.greatest(F.lit(0.1 * i), F.least(F.lit(0.95 * i), i - (i + 1) * y * F.col(f"r{i + 1}") / F.greatest(F.col(f"r{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
-        r = r.select(F.col("lang").alias("rl"), *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
+        r = _discounts(t)
         few = t.join(F.broadcast(r), F.expr("lang = rl"))  # one row a language
-        few = few.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("ctx", F.shiftright("key", 8))
+        few = few.withColumn("d", F.expr(OFF)).withColumn("ctx", F.shiftright("key", 8))
         ctx = few.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("taken"))
         ctx, ctx_at = stored(ctx.select(F.col("lang").alias("cl"), F.col("ctx").alias("ck"), "total", (F.col("taken") / F.col("total")).alias("gamma")), "kn-contexts")
         joined = few.join(ctx, F.expr("lang = cl and ctx = ck"))
@@ -226,22 +242,128 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
     return out.select("row", "doc_id", "lang", F.when(F.col("n_bytes") > 0, F.exp(-F.col("logp") / F.col("n_bytes"))).alias("perplexity"), "n_bytes")
 
 
+def _tokens(texts: list, langs: list) -> Iterator[tuple[int, words.Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts as (first index, words, hashes of each word, of the one before it and of both, all with the language)."""
+    salt = {g: np.uint64(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")) for g in set(langs)}
+    start = 0
+    while start < len(texts):
+        norm, total = [], 0
+        while start + len(norm) < len(texts) and total < BLOCK:
+            norm.append(b" ".join((texts[start + len(norm)] or "").encode("utf-8", "replace").split()))
+            total += len(norm[-1]) + 1
+        ws = words.Words(norm)
+        own = np.array([salt[g] for g in langs[start : start + len(norm)]], np.uint64)
+        if len(ws.start):
+            h = words.mix(ws.word_hashes() ^ own[ws.doc])
+            before = np.concatenate((h[:1], h[:-1]))
+            first = ws.first[ws.n > 0]
+            before[first] = words.mix(~own[ws.doc[first]])  # a text's start
+            yield start, ws, h, before, words.mix(h + words.mix(~before))
+        start += len(norm)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a batch's pairs of words, by language. text, lang."""
+    for b in batches:
+        langs = b.column(1).to_pylist()
+        for start, ws, h, before, pair in _tokens(b.column(0).to_pylist(), langs):
+            u, at, n = np.unique(pair, return_index=True, return_counts=True)
+            lang = pa.array([langs[start + i] for i in ws.doc[at].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([lang, *[pa.array(x.view(np.int64)) for x in (u, h[at], before[at])], pa.array(n)], names=["lang", "pair", "word", "before", "n"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different pairs of words with their number. row, text, lang."""
+    for b in batches:
+        row = np.asarray(b.column(0))
+        for start, ws, h, before, pair in _tokens(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            order = np.lexsort((pair, ws.doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (ws.doc[order][1:] != ws.doc[order][:-1]) | (pair[order][1:] != pair[order][:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(order)))
+            at = order[new]
+            size = (ws.end - ws.start + 1)[at] * n
+            yield pa.RecordBatch.from_arrays([pa.array(row[start + ws.doc[at]]), *[pa.array(x[at].view(np.int64)) for x in (pair, h, before)], pa.array(n.astype(np.int32)), pa.array(size.astype(np.int64))], names=["row", "pair", "word", "before", "n", "size"])
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of a batch. row, text, lang."""
+    for b in batches:
+        langs = b.column(2).to_pylist()
+        for start, ws, h, _, _ in _tokens(b.column(1).to_pylist(), langs):
+            u, at = np.unique(h, return_index=True)
+            raw = ws.buf.tobytes()
+            text = [raw[i:j].decode("utf-8", "replace") for i, j in zip(ws.start[at].tolist(), ws.end[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(text), pa.array([langs[start + i] for i in ws.doc[at].tolist()])], names=["word", "text", "lang"])
+
+
+def word_perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+    """row, perplexity, n_bytes, repeats (share of words equal to the one before) of each of docs (row, text, lang) that has words, under the
+    model of trusted (text, lang); lang not null.
+
+    A language without trusted text has a uniform model over bytes."""
+    spark = docs.sparkSession
+    counts = trusted.select("text", "lang").mapInArrow(_pairs, "lang string, pair long, word long, before long, n long")
+    counts = counts.groupBy("pair").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("before").alias("before"), F.sum("n").alias("n"))
+    counts, counts_at = stored(counts, "kn-pairs")
+    off = counts.join(F.broadcast(_discounts(counts)), F.expr("lang = rl")).withColumn("d", F.expr(OFF))  # one row a language
+    contexts, contexts_at = stored(off.groupBy("before").agg(F.sum("n").alias("total"), F.sum("d").alias("taken")).select(F.col("before").alias("cb"), "total", (F.col("taken") / F.col("total")).alias("gamma")), "kn-contexts")
+    top = off.join(contexts, F.expr("before = cb")).select(F.col("pair").alias("p"), ((F.col("n") - F.col("d")) / F.col("total")).alias("seen"))
+    # A word counts the different words before it.
+    ones, ones_at = stored(counts.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "kn-words")
+    ones = ones.join(F.broadcast(_discounts(ones)), F.expr("lang = rl")).withColumn("d", F.expr(OFF))
+    all_ = ones.groupBy("lang").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("base"))
+    all_ = F.broadcast(all_.withColumnRenamed("lang", "al"))
+    base = train(trusted, order)
+    vocabulary = docs.select("row", "text", "lang").mapInArrow(_vocabulary, "word long, text string, lang string").groupBy("word").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    vocabulary, vocabulary_at = stored(vocabulary, "kn-vocabulary")
+    spelt = perplexity(vocabulary.select(F.col("word").alias("row"), F.col("word").alias("doc_id"), "text", "lang"), base, order)
+    spelt = spelt.select(F.col("row").alias("word"), "lang", (-F.col("n_bytes") * F.log("perplexity")).alias("spelt"))
+    known = ones.select(F.col("word").alias("kw"), (F.col("n") - F.col("d")).alias("left"))
+    single = spelt.join(known, F.expr("word = kw"), "left").join(all_, F.expr("lang = al"), "left")
+    single = single.select(F.col("word").alias("w"), (F.coalesce(F.col("left") / F.col("all"), F.lit(0.0)) + F.coalesce("base", F.lit(1.0)) * F.exp("spelt")).alias("alone"), "spelt")
+    single, single_at = stored(single, "kn-single")
+    places = docs.select("row", "text", "lang").mapInArrow(_places, "row long, pair long, word long, before long, n int, size long")
+    met = places.join(top, F.expr("pair = p"), "left").join(contexts.select("cb", "gamma"), F.expr("before = cb"), "left").join(single, F.expr("word = w"))
+    p = F.coalesce("seen", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("alone")
+    # A very long word's probability is below what a double holds: its logarithm then stands for it.
+    logp = F.when(p > 1e-300, F.log(p)).otherwise(F.col("spelt"))
+    again = F.sum(F.when(F.col("word") == F.col("before"), F.col("n")).otherwise(0)) / F.sum("n")
+    out = met.groupBy("row").agg(F.sum(logp * F.col("n")).alias("logp"), F.sum("size").alias("n_bytes"), again.alias("repeats"))
+    out, _ = stored(out.select("row", F.exp(-F.col("logp") / F.col("n_bytes")).alias("perplexity"), "n_bytes", "repeats"), "kn-scores")
+    for at in (counts_at, contexts_at, ones_at, vocabulary_at, single_at):
+        drop(spark, at)
+    return out
+
+
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """row, doc_id, lang, perplexity, threshold, n_bytes, kept of every row of docs; row numbers the rows within this call.
+    """row, doc_id, lang, perplexity, threshold, n_bytes, kept of every row of docs; row numbers the rows within this call, or is the column
+    row of docs.
 
-    Trusted text is that of rows labelled quality 1. A language's threshold is margin times the quantile of its trusted texts' perplexity;
-    a language without trusted text has none, and its texts are kept. A null lang is a language of its own. A null, empty or blank text
+    Trusted text is that of rows labelled quality 1. A language's threshold is margin times the quantile of its trusted texts' perplexity,
+    each under the model of the half of trusted texts that it is not in (of all, where the other half is empty);
+    a language without trusted text has none, and its texts are kept. A word said over and over is likely if the word is, so perplexity can't
+    tell it: a text is rejected too if more of its words repeat the one before than margin times the same quantile of trusted texts'. A null lang is a language of its own. A null, empty or blank text
     has no perplexity and is rejected. Rows that repeat a doc_id are judged each by its text; a doc_id labelled twice is trusted if any
     of its labels says so; a null doc_id is never trusted. Other columns are not read. An empty table gives an empty result."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     good, _ = stored(good, "kn-trusted")
     few = F.broadcast(good) if good.count() <= 2_000_000 else good
-    model = train(rows.where("text is not null").join(few, "doc_id", "left_semi"), order)
-    scored, _ = stored(perplexity(rows, model, order).join(few.withColumn("trusted", F.lit(True)), "doc_id", "left"), "kn-scores")
-    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg((F.percentile_approx("perplexity", F.lit(quantile), F.lit(20000)) * margin).alias("threshold"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rows = rows.join(few.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("half", F.when(F.col("trusted"), half))
+    trusted = rows.where("trusted and text is not null")
+    halves = trusted.select(F.col("lang").alias("hl"), (1 - F.col("half")).alias("h")).distinct()  # two rows a language
+    model = F.when(F.col("h").isNull(), F.col("lang")).otherwise(F.concat("lang", F.lit("\0"), (1 - F.col("half")).cast("string")))
+    asked = rows.join(F.broadcast(halves), F.expr("lang = hl and half = h"), "left").select("row", "text", model.alias("lang"))
+    learnt = trusted.select("text", F.explode(F.array("lang", F.concat("lang", F.lit("\0"), F.col("half").cast("string")))).alias("lang"))
+    scored = rows.drop("text", "half").join(word_perplexity(asked, learnt, order), "row", "left").withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0).cast("long")))
+    scored, _ = stored(scored, "kn-judged")
+    most = [(F.percentile_approx(c, F.lit(quantile), F.lit(20000)) * margin).alias(n) for c, n in (("perplexity", "threshold"), ("repeats", "limit"))]
+    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg(*most)
     out = scored.join(F.broadcast(limits), "lang", "left")  # one row a language
-    kept = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
+    kept = F.coalesce((F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf")))) & (F.col("repeats") <= F.coalesce("limit", F.lit(1.0))), F.lit(False))
     return out.select("row", "doc_id", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", "n_bytes", kept.alias("kept"))
 
 
