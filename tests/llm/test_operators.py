@@ -247,6 +247,13 @@ def test_chains_prefer_one_diagonal():
     assert chaining.chains(x, y)[0] == [0, 1, 2, 3]
 
 
+def test_chains_of_later_passages_at_the_same_offset():
+    x = [*range(0, 200, 5), *range(300, 380, 5), *range(500, 560, 5)]
+    assert sorted(map(len, chaining.chains(x, x))) == [12, 16, 40]
+    y = [a + (1000 if a < 200 else 500) for a in x]  # a far match on another diagonal comes first
+    assert sorted(map(len, chaining.chains([*x, 290], [*y, 5000]))) == [1, 12, 16, 40]
+
+
 def test_hashes_do_not_depend_on_the_block():
     a, b = words.Words([b"x y z"]), words.Words([b"long text before", b"", b"x y z"])
     assert a.word_hashes().tolist() == b.word_hashes().tolist()[-3:]
