@@ -241,6 +241,26 @@ def test_passages(spark):
     assert (two.start, two.end, two.first_start, two.first_end) == (90, 160, 40, 110)
 
 
+def test_passages_with_many_changes_and_a_second_copy(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"{rng.randrange(10**6):x}" for _ in range(n)]
+    docs, changed = [], {}
+    for i in range(20):
+        shared = fresh(60)
+        for k, every in enumerate((6, 8, 10)):  # pairs of their own, similarity 0.83, 0.88 and 0.90
+            base = 100 * i + 10 * k
+            other = [w if (j + 3) % every else f"changed{j}" for j, w in enumerate(shared)]
+            mine = [f"{w}.{k}" for w in shared]
+            docs += [(base, " ".join(fresh(30) + mine + fresh(30))), (base + 1, " ".join(fresh(45) + [w if w.startswith("changed") else f"{w}.{k}" for w in other] + fresh(20)))]
+            changed.setdefault(every, []).append(base + 1)
+    twice = fresh(60)
+    docs += [(9000, " ".join(twice)), (9001, " ".join(fresh(20) + twice + fresh(90) + twice))]
+    got = [(r.doc_id, r.start) for r in chaining.passages(frame(spark, docs)).collect()]
+    for ids in changed.values():
+        assert len(set(ids) & {d for d, _ in got}) == len(ids)
+    assert sorted(s for d, s in got if d == 9001) == [20, 170]
+
+
 def test_chains_prefer_one_diagonal():
     x = [0, 10, 20, 30, 12]
     y = [5, 15, 25, 35, 2]
