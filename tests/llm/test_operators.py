@@ -261,6 +261,16 @@ def test_passages_with_many_changes_and_a_second_copy(spark):
     assert sorted(s for d, s in got if d == 9001) == [20, 170]
 
 
+def test_passages_meet_a_whole_copy_behind_partial_ones(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"{rng.randrange(10**6):x}" for _ in range(n)]
+    p = fresh(70)
+    parts = {1: p[:40], 2: p[30:], 3: p, 4: p[:40], 5: p[30:], 6: p}
+    docs = [(i, " ".join(fresh(30) + part + fresh(30))) for i, part in parts.items()]
+    got = {(r.doc_id, r.first_doc_id, r.start, r.end) for r in chaining.passages(frame(spark, docs)).collect()}
+    assert (6, 3, 30, 100) in got
+
+
 def test_chains_prefer_one_diagonal():
     x = [0, 10, 20, 30, 12]
     y = [5, 15, 25, 35, 2]
