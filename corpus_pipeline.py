@@ -1,6 +1,6 @@
 """The corpus pipeline: quality, exact and near duplicates, mixing, tokens. Each stage is one operator of the llm subpackage, applied in full.
 
-Decisions are joined back by doc_id: a row without doc_id is dropped by the first stage, and rows that share a doc_id stay or go together."""
+Each stage numbers its rows and joins its decisions back by row, so rows without doc_id, and rows that share one, are decided each by itself."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, exact_dedup, jaccard_join, kneser_ney, mixing
+from turnloom.llm.line_dedup import ranked
 from turnloom.llm.shared import stored
 from turnloom.session import table
 
@@ -17,34 +18,57 @@ BROADCAST_IDS = 2_000_000
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a stored row."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "stage-rows")[0]
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """row and place of each of docs: places count the rows in the order of doc_id, those without one last, so a place decides as a doc_id does."""
+    place = ranked(docs.select("row", F.col("doc_id").isNull().alias("none"), "doc_id"), "none", "doc_id", "row")
+    return stored(place.select("row", F.col("rank").cast("long").alias("place")), "stage-places")[0]
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "row", how)
+
+
+def _under_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    return _by_row(docs, places, "inner").drop("doc_id").withColumnRenamed("place", "doc_id")
+
+
+def _only(docs: DataFrame, places: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose places are kept."""
+    rows, _ = stored(places.join(kept.select(F.col("doc_id").alias("place")), "place", "left_semi").select("row"), "stage-kept")
+    return _by_row(docs, rows, "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    kept, _ = stored(kneser_ney.quality(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id"), "stage-quality")
-    return _only(docs, kept)
+    docs = _numbered(docs)
+    kept, _ = stored(kneser_ney.quality(docs, table(spark, sf_dir, "labels")).where("kept").select("row"), "stage-quality")
+    return _by_row(docs, kept, "left_semi").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept, _ = stored(exact_dedup.exact_dedup(docs).where("kept").select("doc_id"), "stage-exact")
-    return _only(docs, kept)
+    docs = _numbered(docs)
+    places = _placed(docs)
+    return _only(docs, places, exact_dedup.exact_dedup(_under_places(docs, places)).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id."""
-    kept, _ = stored(jaccard_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id"), "stage-near")
-    return _only(docs, kept)
+    docs = _numbered(docs)
+    places = _placed(docs)
+    return _only(docs, places, jaccard_join.jaccard_components(_under_places(docs, places)).where("doc_id = component_id"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies, _ = stored(mixing.mix(docs)[0].where("copies > 0").select("doc_id", "copies"), "stage-mix")
-    few = copies.count() <= BROADCAST_IDS
-    both = docs.join(F.broadcast(copies) if few else copies, "doc_id")
+    docs = _numbered(docs)
+    copies, _ = stored(mixing.mix(docs)[0].where("copies > 0").select("row", "copies"), "stage-mix")
+    both = _by_row(docs, copies, "inner")
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from turnloom.llm import bpe, chaining, exact_dedup, jaccard_join, kneser_ney, line_dedup, mixing, pivots, toxicity, warc, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, cls string, id long"
@@ -137,6 +138,23 @@ def test_embedding_links(spark):
     assert all(got[i] == (0, i, True) for i in range(61, 67))
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    ws = "the cat sat on the mat and the dog ran to the tree while some birds sang".split()
+    text = lambda i: " ".join(random.Random(i).choices(ws, k=30))
+    good = [(i, text(i), "en", "a", 100) for i in range(40)]
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*good, (None, text(100), "en", "a", 100), (70, text(101), "en", "a", 100), (70, "ZXQ!! KJW## QQQ%% VVV&&", "en", "a", 100)], schema)
+    out = corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()
+    assert {r.text for r in out if r.doc_id is None} == {text(100)} and [r.text for r in out if r.doc_id == 70] == [text(101)]
+    same = spark.createDataFrame([(5, "a b c d e f", "en", "a", 11)] * 3 + [(None, "x y z", "en", "a", 5)] * 2 + [(6, "a b c d e f", "en", "a", 11)], schema)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        assert sorted((r.doc_id or 0, r.text) for r in stage(spark, same, "").collect()) == [(0, "x y z"), (5, "a b c d e f")]
+    four = spark.createDataFrame([(5, f"w{i} b c d", "en", "a", 8) for i in range(4)], schema)
+    mixed = [r.text for r in corpus_pipeline.mixing_stage(spark, four, "").collect()]
+    assert len(mixed) == 6 and all(mixed.count(t) <= 2 for t in mixed)
+
+
 def test_mixing(spark, rows):
     out, aims = mixing.mix(frame(spark, rows))
     got, aims = out.collect(), {r.source: (r.source_size, r.target) for r in aims.collect()}

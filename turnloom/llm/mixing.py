@@ -108,9 +108,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(per document doc_id, size, source_size, target, taken, copies and pick; per source its target).
 
     Null texts have size 0 and are never copied; a null source is a source of its own, the last. A null doc_id and repeated rows are
-    documents like any other. Copies are whole, so a source's words may miss its target by half of its shortest document. An empty table, or one without words, gives targets of 0. Other columns are not read."""
+    documents like any other. Copies are whole, so a source's words may miss its target by half of its shortest document. An empty table, or one without words, gives targets of 0. A column row is passed on. Other columns are not read."""
     spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    row = ["row"] if "row" in docs.columns else []
+    d = docs.select(*row, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     d, _ = stored(d, "mix-sizes")
     hist, _ = stored(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     per = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -136,8 +137,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranked = one.withColumn("rank", rank).join(parts, F.expr("source <=> s and size = z and part = p"), "left")
     extra = F.col("copies") - F.floor(F.col("copies") / F.col("n")) * F.col("n")
     picked = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") + F.coalesce("before", F.lit(0)) <= extra, 1).otherwise(0)
-    out = ranked.select("doc_id", "source", "size", "source_size", "target", picked.cast("long").alias("copies"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"), aims
+    out = ranked.select(*row, "doc_id", "source", "size", "source_size", "target", picked.cast("long").alias("copies"))
+    return out.select(*row, "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"), aims
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
