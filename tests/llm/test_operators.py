@@ -138,6 +138,17 @@ def test_embedding_links(spark):
     assert all(got[i] == (0, i, True) for i in range(61, 67))
 
 
+def test_embedding_links_of_a_length_without_pivots(spark):
+    rng = np.random.default_rng(7)
+    rare = rng.normal(size=9)
+    vecs = [(i, rng.normal(size=8).tolist(), 0) for i in range(3000)] + [(5000 + i, (rare + 1e-4 * i).tolist(), 0) for i in range(2)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int")
+    lengths = pivots.fit(df.selectExpr("cast(embedding as array<double>) AS v"))
+    assert 9 not in lengths
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.embedding_links(df).where("vec_id >= 5000").collect()}
+    assert got == {5000: (1, 5000), 5001: (1, 5000)}
+
+
 def test_pipeline_decides_by_row(spark, tmp_path):
     ws = "the cat sat on the mat and the dog ran to the tree while some birds sang".split()
     text = lambda i: " ".join(random.Random(i).choices(ws, k=30))

@@ -54,7 +54,7 @@ def _describe(pivots: dict[int, np.ndarray]):
                 at = np.flatnonzero(lengths == d)
                 if (p := pivots.get(int(d))) is None:
                     for i in at:
-                        near[i] = [0] * SHARED
+                        near[i] = list(range(SHARED))  # all vectors of this length share them
                     continue
                 x = unit(flat[(starts[at][:, None] + np.arange(d))])
                 m = min(NEAR, len(p))
