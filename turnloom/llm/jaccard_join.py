@@ -31,7 +31,7 @@ BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be broadcast; more are
 HOT_SHINGLES = 1 << 18  # shingles that are ordered by their counts; the others by their hash
 LIGHT_MOST = 12
 BITS = 4096
-COUNTED = 6_000_000  # shingles of a task that are counted together in search of frequent ones
+COUNTED = 1_000_000  # shingles of a task that are counted together in search of frequent ones
 
 
 def need(s: int, t: int) -> int:
@@ -70,7 +70,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ids = batch.column(0)
-        for start, norm in words.blocks(batch.column(1).to_pylist()):
+        for start, norm in words.blocks(batch.column(1)):
             w = words.Words(norm)
             doc, _, h = w.shingles(K)
             flat, off = words.per_doc_unique(doc, h, len(norm))
@@ -100,7 +100,7 @@ def _postings(hot: np.ndarray, rank: np.ndarray, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for start, norm in words.blocks(batch.column(1).to_pylist()):
+            for start, norm in words.blocks(batch.column(1)):
                 w = words.Words(norm)
                 doc, _, h = w.shingles(K)
                 flat, off = words.per_doc_unique(doc, h, len(norm))
@@ -145,7 +145,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set, and its parity bitmap: bit j says whether an odd number of elements has the low bits j."""
     for batch in batches:
         ids = batch.column(0)
-        for start, norm in words.blocks(batch.column(1).to_pylist()):
+        for start, norm in words.blocks(batch.column(1)):
             doc, _, h = words.Words(norm).shingles(K)
             flat, off = words.per_doc_unique(doc, h, len(norm))
             for i in range(0, len(norm), 256):

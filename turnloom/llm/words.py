@@ -12,7 +12,7 @@ import numpy as np
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
-BLOCK = 1 << 21  # bytes of text handled at once
+BLOCK = 1 << 18  # bytes of text handled at once
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,10 +33,16 @@ def _powers(n: int, base: np.uint64, name: str) -> np.ndarray:
     return have
 
 
-def blocks(texts: list, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts as (first index, normalised UTF-8 texts), each run about size bytes; a longer text is a run of its own."""
+def each(column, step: int = 128) -> Iterator:
+    """The values of an Arrow column, a few at a time: a batch's texts are never all Python objects at once."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
+def blocks(texts, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts (an Arrow column or a list) as (first index, normalised UTF-8 texts), each run about size bytes; a longer text is a run of its own."""
     start, total, run = 0, 0, []
-    for i, t in enumerate(texts):
+    for i, t in enumerate(texts if isinstance(texts, list) else each(texts)):
         b = b" ".join((t or "").encode("utf-8", "replace").lower().split())
         if run and total + len(b) > size:
             yield start, run
