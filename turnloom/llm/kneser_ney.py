@@ -1,24 +1,23 @@
 """Interpolated modified Kneser-Ney model of trusted text, and the perplexity of every document under it.
 
-The model is over pairs of words: a word's probability depends on the word before it, backs off to the number of different words that it
-follows, and from there to a Kneser-Ney model of its bytes, which every word has a probability under. Pairs are counted by sharded
-aggregations and looked up by joins on 64-bit hashes of language and words; no text and no table of words is broadcast. Every text is scored
-by words that it was not counted in: a trusted text is scored by a model of the other half of trusted texts, so that the threshold, which
-comes from trusted texts, is one for texts that the model has not seen.
+The model is over the bytes of a text whose words are joined by one space. An n-gram of ORDER bytes runs across the ends of words, so a
+byte depends on the end of the word before. An n-gram is packed into one integer, so no two share a key. A language has a model of its own.
+Every text is scored by text that it was not counted in: a trusted text is scored by the model of the other half of trusted texts, so that
+the threshold, which comes from trusted texts, is one for texts that the model has not seen.
 
-The base is over the bytes of words, each closed by a space, with contexts that do not reach beyond the word's start; a language has a
-model of its own. Counts come from all trusted text: every task counts the words it reads, takes apart each different word once, and the
-n-gram counts are summed by sharded aggregations. Continuation counts, discounts (three an order, from the counts of counts), context sums
-and back-off weights are all joins and aggregations on the n-gram key. An n-gram of up to 7 bytes is packed into one integer, so no two
-share a key.
+Texts are read twice and never shuffled. First, each chunk (a split of the input) yields its different n-grams once, with their counts in
+trusted text. They are dealt to shards by language and the last two bytes of the context, which all orders above two have in common. A shard
+joins the trusted counts of all chunks and yields the counts of counts, from which the discounts come (three an order), and its share of the
+orders below, of which there are at most 65,536 n-grams a language. Then a shard joins its model with the n-grams that the chunks ask for,
+and answers with their log probabilities. Second, each chunk reads its answers from the shared folder and sums them by document. What a
+task holds is a chunk's different n-grams, or a shard's; both shares shrink with more splits or more shuffle partitions.
 
-For scoring, the model is cut into shards by the last byte of the context, which all orders of one position have in common. A shard of
-bounded size is sent to the tasks, which score each different word of a block once and sum per document; the sums of the shards add up."""
+Words as units were tried: on check_s 27.1 million words make 12.5 million different pairs, so joins of documents with counts of pairs
+write several times the input."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,344 +27,372 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import words
-from .shared import drop, stored
+from .shared import drop, files_of, release, stored
+from .splits import at, by_split, column, dealt, flat, lists, runs_of, summed
 
 ORDER = 5
-SHARD_ROWS = 3_000_000  # n-grams of a shard that may be broadcast: 12 bytes each
 QUANTILE = 0.995  # of trusted texts' perplexity, by language
 MARGIN = 1.15  # times the quantile's perplexity, from which a text is rejected
-BLOCK = 1 << 22
+BLOCK = 1 << 20  # bytes of text handled at once
+PENDING = 2_000_000  # n-grams that wait for being counted together
+BROADCAST_IDS = 2_000_000
+#: A text is in half 0 or 1 of trusted text, or not trusted.
+NOT_TRUSTED = 2
 
 
-def _blocks(texts: list, groups: list) -> Iterator[tuple[str, list[int], list[list[bytes]]]]:
-    """Per language runs of texts as lists of words."""
-    by: dict = {}
-    for i, g in enumerate(groups):
-        by.setdefault(g, []).append(i)
-    for g, at in by.items():
-        run, ws, total = [], [], 0
-        for i in at:
-            raw = (texts[i] or "").encode("utf-8", "replace")
-            if run and total + len(raw) > BLOCK:
-                yield g, run, ws
-                run, ws, total = [], [], 0
-            run.append(i)
-            ws.append(raw.split())
-            total += len(raw)
-        if run:
-            yield g, run, ws
-
-
-def _grams(ws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the order-n n-grams of words, each after order - 1 zero bytes and before a space; and the word of each."""
+def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram ending at each byte, index of its text) of texts of words joined and closed by a space, each after order - 1 zero bytes."""
     pad = b"\0" * (order - 1)
-    buf = np.frombuffer(pad + (b" " + pad).join(ws) + b" ", np.uint8).astype(np.int64)
-    key = np.zeros(len(buf) - order + 1, np.int64)
+    buf = np.frombuffer(pad + pad.join(texts), np.uint8)
+    doc = np.repeat(np.arange(len(texts)), [len(t) + (order - 1 if i + 1 < len(texts) else 0) for i, t in enumerate(texts)])
+    key = np.zeros(len(doc), np.int64)
     for k in range(order):
-        key = key << 8 | buf[k : len(buf) - order + 1 + k]
+        key = key << 8 | buf[k : len(doc) + k]
     real = buf[order - 1 :] != 0
-    # A zero byte in a text would look like padding; such a byte is never a target and so scores nothing.
-    length = np.array([len(w) + 1 + order - 1 for w in ws])
-    word = np.repeat(np.arange(len(ws)), length)[: len(key)]
-    return key[real], word[real]
+    return key[real], doc[real]
+
+
+def plain(text: str | None) -> bytes:
+    """The text's words, joined and closed by a space. A zero byte, which would look like padding, becomes a one."""
+    ws = (text or "").encode("utf-8", "replace").replace(b"\0", b"\1").split()
+    return b" ".join([*ws, b""]) if ws else b""
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int, np.ndarray, list[bytes]]]:
+    """Runs of rows of one chunk, language and half: (chunk, lang, half, row indexes, texts). Columns chunk, lang, half, text come first."""
+    chunk, lang, half = (batch.column(i).to_pylist() for i in range(3))
+    held: dict = {}
+    last = None
+    for i, text in enumerate(words.each(batch.column(3))):
+        if chunk[i] != last:
+            for k, (rows, run, _) in held.items():
+                yield *k, np.array(rows), run
+            held, last = {}, chunk[i]
+        t = plain(text)
+        if not t:
+            continue
+        rows, run, size = held.setdefault((chunk[i], lang[i], half[i]), ([], [], [0]))
+        rows.append(i)
+        run.append(t)
+        size[0] += len(t)
+        if size[0] > BLOCK:
+            yield chunk[i], lang[i], half[i], np.array(rows), run
+            del held[(chunk[i], lang[i], half[i])]
+    for k, (rows, run, _) in held.items():
+        yield *k, np.array(rows), run
+
+
+class Tally:
+    """Different n-grams with their counts, summed as they come."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, key: np.ndarray) -> None:
+        self.parts.append(np.unique(key, return_counts=True))
+        self.waiting += len(self.parts[-1][0])
+        if self.waiting > PENDING and len(self.parts) > 1:
+            self.parts = [self.sums()]
+            self.waiting = 0
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        return summed(key, n)
+
+
+def shard_of(key: np.ndarray, lang: str, shards: int) -> np.ndarray:
+    """By language and the last two bytes of the context."""
+    salt = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    return (words.mix((key >> 8 & 0xFFFF).astype(np.uint64) ^ salt) % np.uint64(shards)).astype(np.int32)
+
 
+KEYS = "shard int, chunk string, lang string, half int, keys array<long>, n array<long>"
+
+
+def _keys(shards: int, order: int):
+    """Of each chunk, by language and half, the different n-grams with their counts, dealt to shards."""
 
-def _tally(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], Tally] = {}
+        last = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, half), tally in held.items():
+                key, n = tally.sums()
+                shard = shard_of(key, lang, shards)
+                by, cuts, shard = dealt(key, shard)
+                key, n, m = key[by], n[by], len(shard)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard), pa.array([last] * m, pa.string()), pa.array([lang] * m, pa.string()), pa.array(np.full(m, half, np.int32)), lists(key, cuts), lists(n, cuts)],
+                    names=["shard", "chunk", "lang", "half", "keys", "n"],
+                )
+
         for b in batches:
-            for lang, _, docs in _blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                count: dict[bytes, int] = {}
-                for ws in docs:
-                    for w in ws:
-                        count[w] = count.get(w, 0) + 1
-                if not count:
-                    continue
-                key, word = _grams(list(count), order)
-                u, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, weights=np.fromiter(count.values(), np.int64, len(count))[word]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u), pa.array(n)], names=["lang", "key", "n"])
+            for chunk, lang, half, _, run_ in _runs(b):
+                if chunk != last:
+                    yield from out()
+                    held, last = {}, chunk
+                tally = held.setdefault((lang, half), Tally())
+                tally.add(grams(run_, order)[0])
+        yield from out()
 
     return run
 
 
-OFF = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """rl, d1, d2, d3: per language what is taken from n-grams seen once, twice and more often. counts: lang, n."""
-    r = counts.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"r{i}") for i in (1, 2, 3, 4)])
-    y = F.col("r1") / F.greatest(F.col("r1") + 2 * F.col("r2"), F.lit(1.0))
-    d = [F.greatest(F.lit(0.1 * i), F.least(F.lit(0.95 * i), i - (i + 1) * y * F.col(f"r{i + 1}") / F.greatest(F.col(f"r{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
-    return r.select(F.col("lang").alias("rl"), *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
-
-
-def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model as a table: lang, key, level, logp, back. trusted: text, lang (not null).
-
-    Rows of level k hold, for each k-gram seen, its log probability, and in back the log of the back-off weight of the context that its
-    last k bytes are (null unless they were followed by something)."""
-    spark = trusted.sparkSession
-    counts = trusted.select("text", "lang").mapInArrow(_tally(order), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    levels = {order: stored(counts, "kn-counts")}
-    for k in range(order - 1, 0, -1):
-        mask = (1 << 8 * k) - 1
-        # What the zeros before a word's start are cut from isn't new: below the top, an n-gram counts its different left neighbours.
-        c = levels[k + 1][0].groupBy("lang", F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        levels[k] = stored(c, "kn-counts")
-    below = None
-    parts = []
-    for k in range(1, order + 1):
-        t = levels[k][0]
-        r = _discounts(t)
-        few = t.join(F.broadcast(r), F.expr("lang = rl"))  # one row a language
-        few = few.withColumn("d", F.expr(OFF)).withColumn("ctx", F.shiftright("key", 8))
-        ctx = few.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("taken"))
-        ctx, ctx_at = stored(ctx.select(F.col("lang").alias("cl"), F.col("ctx").alias("ck"), "total", (F.col("taken") / F.col("total")).alias("gamma")), "kn-contexts")
-        joined = few.join(ctx, F.expr("lang = cl and ctx = ck"))
-        if below is None:
-            p = (F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") / 256
-            level = joined.select("lang", "key", p.alias("p"))
-        else:
-            mask = (1 << 8 * (k - 1)) - 1
-            low = below.select(F.col("lang").alias("bl"), F.col("key").alias("bk"), F.col("p").alias("q"))
-            joined = joined.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask))).join(low, F.expr("lang = bl and suffix = bk"))
-            level = joined.select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
-        below, at = stored(level, "kn-level")
-        parts.append((k, below, at, ctx, ctx_at))
-    model = None
-    for k, t, *_ in parts:
-        rows = t.select("lang", "key", F.lit(k).alias("level"), F.log("p").cast("float").alias("value"))
-        model = rows if model is None else model.union(rows)
-    for k, _, _, ctx, _ in parts:
-        model = model.union(ctx.select(F.col("cl"), F.col("ck"), F.lit(-k), F.log("gamma").cast("float")))
-    model, _ = stored(model.withColumn("last", F.when(F.col("level") > 1, F.shiftright("key", 8).bitwiseAND(F.lit(255))).when(F.col("level") < -1, F.col("key").bitwiseAND(F.lit(255))).otherwise(-1)), "kn-model")
-    for k, _, at, _, ctx_at in parts:
-        drop(spark, at)
-        drop(spark, ctx_at)
-        drop(spark, levels[k][1])
-    return model
-
-
-class Scorer:
-    """One shard of the model in sorted arrays."""
-
-    def __init__(self, rows: pa.Table, order: int, lasts: np.ndarray):
-        """rows: lang, key, level, value."""
-        self.order, self.lasts = order, lasts
-        self.at: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        langs = rows["lang"].combine_chunks().dictionary_encode()
-        names, lang = langs.dictionary.to_pylist(), np.asarray(langs.indices)
-        key, level, value = (np.asarray(rows[c]) for c in ("key", "level", "value"))
-        for k, name in enumerate(names):
-            for n in np.unique(level[lang == k]).tolist():
-                at = np.flatnonzero((lang == k) & (level == n))
-                at = at[np.argsort(key[at])]
-                self.at[(name, n)] = key[at], value[at].astype(np.float32)
-
-    def find(self, lang: str, level: int, key: np.ndarray) -> np.ndarray:
-        """The value of each key, NaN where there is none."""
-        keys, values = self.at.get((lang, level), (np.zeros(0, np.int64), np.zeros(0, np.float32)))
-        if not len(keys):
-            return np.full(len(key), np.nan)
-        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[i] == key, values[i].astype(np.float64), np.nan)
-
-    def words(self, lang: str, ws: list[bytes]) -> np.ndarray:
-        """Log probability of each word, summed over the positions that belong to this shard."""
-        key, word = _grams(ws, self.order)
-        mine = self.lasts[key >> 8 & 255]
-        key, word = key[mine], word[mine]
-        u, back = np.unique(key, return_inverse=True)
-        logp, open_, weight = np.zeros(len(u)), np.ones(len(u), bool), np.zeros(len(u))
-        for k in range(self.order, 0, -1):
-            at = np.flatnonzero(open_)
-            if not len(at):
-                break
-            part = u[at] & ((1 << 8 * k) - 1)
-            got = self.find(lang, k, part)
-            hit = ~np.isnan(got)
-            logp[at[hit]] = weight[at[hit]] + got[hit]
-            open_[at[hit]] = False
-            at, part = at[~hit], part[~hit]
-            weight[at] += np.nan_to_num(self.find(lang, -k, part >> 8), nan=0.0)
-        logp[open_] = weight[open_] - math.log(256)
-        return np.bincount(word, weights=logp[back], minlength=len(ws))
-
-
-def _sums(shard, first: bool):
+def suffixes(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different last k bytes of sorted different n-grams, and of how many each is the end."""
+    return np.unique(key & ((1 << 8 * k) - 1), return_counts=True)
+
+
+MODEL = "shard int, lang string, keys array<long>, n0 array<long>, n1 array<long>, variant array<int>, low array<int>, times array<long>, counts array<long>"
+
+
+def _merge(order: int):
+    """Per shard and language the trusted counts of both halves; per variant (half 0, half 1, both) its number of n-grams of the two
+    orders below and the counts of counts of the others."""
+
+    def row(shard: int, lang: str, parts: list) -> pa.RecordBatch:
+        halves = [summed(*(np.concatenate([p[i] for p in parts if p[0] == h] or [np.zeros(0, np.int64)]) for i in (1, 2))) for h in (0, 1)]
+        key = np.union1d(halves[0][0], halves[1][0])
+        n = np.zeros((2, len(key)), np.int64)
+        for h, (k, c) in enumerate(halves):
+            n[h, np.searchsorted(key, k)] = c
+        variant, low, times, counts = [], [], [], []
+        for v, c in enumerate((n[0], n[1], n[0] + n[1])):
+            k, c = key[c > 0], c[c > 0]
+            for level in range(order, 2, -1):
+                counts += [v, level, *(int((c == i).sum()) for i in (1, 2, 3, 4))]
+                k, c = suffixes(k, level - 1)
+            variant.append(np.full(len(k), v, np.int32))
+            low.append(k.astype(np.int32))
+            times.append(c)
+        cols = [pa.array([shard], pa.int32()), pa.array([lang])]
+        cols += [lists(x, np.array([0, len(x)])) for x in (key, n[0], n[1], np.concatenate(variant), np.concatenate(low), np.concatenate(times), np.array(counts, np.int64))]
+        return pa.RecordBatch.from_arrays(cols, names=["shard", "lang", "keys", "n0", "n1", "variant", "low", "times", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shard.value
+        last, parts = None, []
+        for where, rows in runs_of(batches, "shard", "lang", "half"):
+            if where[:2] != last:
+                if parts:
+                    yield row(*last, parts)
+                last, parts = where[:2], []
+            parts.append((where[2], flat(rows, "keys"), flat(rows, "n")))
+        if parts:
+            yield row(*last, parts)
+
+    return run
+
+
+def discounts(r: np.ndarray) -> np.ndarray:
+    """What is taken from n-grams seen once, twice and more often, from the counts of counts r[1..4] (r[0] is unused), in safe bounds."""
+    y = r[1] / max(r[1] + 2 * r[2], 1)
+    raw = [i - (i + 1) * y * r[i + 1] / max(r[i], 1) for i in (1, 2, 3)]
+    return np.array([min(max(x, 0.1 * i), 0.95 * i) for i, x in zip((1, 2, 3), raw, strict=True)])
+
+
+class Level:
+    """The n-grams of one order with their probabilities, and the back-off weights of their contexts; keys are sorted."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, d: np.ndarray, lower: np.ndarray):
+        """lower: the probability of each n-gram's end under the order below."""
+        off = d[np.minimum(n, 3) - 1]
+        self.key = key
+        self.context, back = np.unique(key >> 8, return_inverse=True)
+        total, taken = np.bincount(back, n), np.bincount(back, off)
+        self.gamma = taken / total
+        self.p = (n - off) / total[back] + self.gamma[back] * lower
+
+
+def probability(levels: list[Level], key: np.ndarray) -> np.ndarray:
+    """The interpolated probability of each n-gram. levels: from order 1 up; none: uniform over bytes."""
+    weight, p, open_ = np.ones(len(key)), np.zeros(len(key)), np.ones(len(key), bool)
+    for k in range(len(levels), 0, -1):
+        i = np.flatnonzero(open_)
+        part = key[i] & ((1 << 8 * k) - 1)
+        j, hit = at(levels[k - 1].key, part)
+        p[i[hit]] = weight[i[hit]] * levels[k - 1].p[j[hit]]
+        open_[i[hit]] = False
+        i, part = i[~hit], part[~hit]
+        j, hit = at(levels[k - 1].context, part >> 8)
+        weight[i[hit]] *= levels[k - 1].gamma[j[hit]]
+    p[open_] = weight[open_] / 256
+    return p
+
+
+def low_levels(key2: np.ndarray, n2: np.ndarray) -> list[Level]:
+    """Orders 1 and 2 from the pairs of bytes and how many different bytes stand before each."""
+    key1, n1 = suffixes(key2, 1)
+    out = []
+    for k, n in ((key1, n1), (key2, n2)):
+        lower = probability(out, k)
+        out.append(Level(k, n, discounts(np.bincount(np.minimum(n, 5), minlength=6)[:5]), lower))
+    return out
+
+
+def high_levels(low: list[Level], key: np.ndarray, n: np.ndarray, taken: dict[int, np.ndarray], order: int) -> list[Level]:
+    """All orders, from a shard's n-grams of the highest. taken: the discounts of orders 3 and up."""
+    steps = [(key, n)]
+    for k in range(order - 1, 2, -1):
+        steps.append(suffixes(steps[-1][0], k))
+    out = list(low)
+    for k, (x, c) in zip(range(3, order + 1), reversed(steps), strict=True):
+        out.append(Level(x, c, taken[k], probability(out, x & ((1 << 8 * (k - 1)) - 1))))
+    return out
+
+
+ANSWERS = "chunk string, lang string, half int, keys array<long>, logp array<float>"
+
+
+def _answers(small: dict, order: int):
+    """Joins a shard's model with the n-grams that chunks ask for. small: (lang, variant) -> orders 1 and 2, discounts of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, models = None, {}
+        for (shard, lang, asked), rows in runs_of(batches, "shard", "lang", "asked"):
+            if (shard, lang) != where:
+                where, models = (shard, lang), {}
+            if not asked:
+                key, n0, n1 = (flat(rows, c) for c in ("keys", "n", "n1"))
+                for v, n in enumerate((n0, n1, n0 + n1)):
+                    if (lang, v) in small:
+                        low, taken = small[(lang, v)]
+                        models[v] = high_levels(low, key[n > 0], n[n > 0], taken, order)
+                continue
+            half = np.asarray(column(rows, "half"))
+            key = flat(rows, "keys")
+            cuts = np.concatenate(([0], np.cumsum(np.diff(np.asarray(column(rows, "keys").offsets)))))
+            logp = np.zeros(len(key), np.float32)
+            for i, h in enumerate(half.tolist()):
+                v = 1 - h if h != NOT_TRUSTED and (lang, 1 - h) in small else 2
+                some = slice(cuts[i], cuts[i + 1])
+                levels = models.get(v) or (small[(lang, v)][0] if (lang, v) in small else [])
+                logp[some] = np.log(probability(levels, key[some]))
+            names = ["chunk", "lang", "half"]
+            yield pa.RecordBatch.from_arrays([*(column(rows, c) for c in names), lists(key, cuts), lists(logp, cuts)], names=[*names, "keys", "logp"])
+
+    return run
+
+
+def _score(folder: str, order: int):
+    """Per row the sum of its n-grams' log probabilities, its bytes and the share of words that repeat the one before; then columns 4 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, {}
         for b in batches:
-            n = b.num_rows
-            total, size = np.zeros(n), np.zeros(n, np.int64)
-            for lang, run_, docs in _blocks(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                index: dict[bytes, int] = {}
-                enter = index.setdefault
-                ids = [[enter(w, len(index)) for w in ws] for ws in docs]
-                if not index:
-                    continue
-                value = scorer.words(lang, list(index))
-                length = np.fromiter((len(w) + 1 for w in index), np.int64, len(index))
-                for i, x in zip(run_, ids, strict=True):
-                    total[i] = value[x].sum() if x else 0.0
-                    size[i] = length[x].sum() if x and first else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(total), pa.array(size)], names=["row", "doc_id", "lang", "logp", "n_bytes"])
+            logp, size, again = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for chunk, lang, half, rows, run_ in _runs(b):
+                if chunk != last:
+                    known, last = {}, chunk
+                    for t in files_of(f"{folder}/chunk={chunk}"):
+                        langs, halves = t["lang"].to_pylist(), t["half"].to_pylist()
+                        for i, k in enumerate(zip(langs, halves, strict=True)):
+                            known.setdefault(k, []).append([np.asarray(t[c][i].values) for c in ("keys", "logp")])
+                    for k, parts in known.items():
+                        key, p = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+                        by = np.argsort(key)
+                        known[k] = key[by], p[by]
+                keys, values = known.get((lang, half), (np.zeros(0, np.int64), np.zeros(0, np.float32)))
+                key, doc = grams(run_, order)
+                i, hit = at(keys, key)
+                if not hit.all():
+                    raise RuntimeError("the input was split in another way than before; store it first")
+                logp[rows] = np.bincount(doc, values[i].astype(np.float64), len(run_))
+                size[rows] = [len(t) for t in run_]
+                w = words.Words([t[:-1] for t in run_])
+                h = w.word_hashes()
+                same = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
+                again[rows] = np.bincount(w.doc[1:][same], minlength=len(run_)) / np.maximum(w.n, 1)
+            own = [pa.array(logp), pa.array(size), pa.array(again)]
+            yield pa.RecordBatch.from_arrays([*own, *b.columns[4:]], names=["logp", "n_bytes", "repeats", *b.schema.names[4:]])
 
     return run
 
 
-def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """row, doc_id, lang, perplexity, n_bytes of docs (row, doc_id, text, lang); null perplexity for texts without words."""
-    spark = docs.sparkSession
-    sizes = {r["last"]: r["count"] for r in model.groupBy("last").count().collect()}  # 257 rows at most
-    common = sizes.pop(-1, 0)
-    shards: list[list[int]] = [[]]
-    room = SHARD_ROWS - common
-    for last, n in sorted(sizes.items()):
-        if n > room and shards[-1]:
-            shards.append([])
-            room = SHARD_ROWS - common
-        shards[-1].append(last)
-        room -= n
-    out = None
-    for i, lasts in enumerate(shards):
-        rows = model.where(F.col("last").isin([-1, *lasts])).select("lang", "key", "level", "value").toArrow()
-        mine = np.zeros(256, bool)
-        mine[lasts] = True
-        if i == 0:
-            mine |= ~np.isin(np.arange(256), list(sizes))
-        shard = spark.sparkContext.broadcast(Scorer(rows, order, mine))
-        part = docs.select("row", "text", "lang", "doc_id").mapInArrow(_sums(shard, i == 0), "row long, doc_id long, lang string, logp double, n_bytes long")
-        out = part if out is None else out.union(part)
-    if len(shards) > 1:
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("logp").alias("logp"), F.sum("n_bytes").alias("n_bytes"))
-    return out.select("row", "doc_id", "lang", F.when(F.col("n_bytes") > 0, F.exp(-F.col("logp") / F.col("n_bytes"))).alias("perplexity"), "n_bytes")
-
-
-def _tokens(texts: list, langs: list) -> Iterator[tuple[int, words.Words, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of texts as (first index, words, hashes of each word, of the one before it and of both, all with the language)."""
-    salt = {g: np.uint64(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")) for g in set(langs)}
-    start = 0
-    while start < len(texts):
-        norm, total = [], 0
-        while start + len(norm) < len(texts) and total < BLOCK:
-            norm.append(b" ".join((texts[start + len(norm)] or "").encode("utf-8", "replace").split()))
-            total += len(norm[-1]) + 1
-        ws = words.Words(norm)
-        own = np.array([salt[g] for g in langs[start : start + len(norm)]], np.uint64)
-        if len(ws.start):
-            h = words.mix(ws.word_hashes() ^ own[ws.doc])
-            before = np.concatenate((h[:1], h[:-1]))
-            first = ws.first[ws.n > 0]
-            before[first] = words.mix(~own[ws.doc[first]])  # a text's start
-            yield start, ws, h, before, words.mix(h + words.mix(~before))
-        start += len(norm)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a batch's pairs of words, by language. text, lang."""
-    for b in batches:
-        langs = b.column(1).to_pylist()
-        for start, ws, h, before, pair in _tokens(b.column(0).to_pylist(), langs):
-            u, at, n = np.unique(pair, return_index=True, return_counts=True)
-            lang = pa.array([langs[start + i] for i in ws.doc[at].tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([lang, *[pa.array(x.view(np.int64)) for x in (u, h[at], before[at])], pa.array(n)], names=["lang", "pair", "word", "before", "n"])
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's different pairs of words with their number. row, text, lang."""
-    for b in batches:
-        row = np.asarray(b.column(0))
-        for start, ws, h, before, pair in _tokens(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            order = np.lexsort((pair, ws.doc))
-            new = np.ones(len(order), bool)
-            new[1:] = (ws.doc[order][1:] != ws.doc[order][:-1]) | (pair[order][1:] != pair[order][:-1])
-            n = np.diff(np.append(np.flatnonzero(new), len(order)))
-            at = order[new]
-            size = (ws.end - ws.start + 1)[at] * n
-            yield pa.RecordBatch.from_arrays([pa.array(row[start + ws.doc[at]]), *[pa.array(x[at].view(np.int64)) for x in (pair, h, before)], pa.array(n.astype(np.int32)), pa.array(size.astype(np.int64))], names=["row", "pair", "word", "before", "n", "size"])
-
-
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different words of a batch. row, text, lang."""
-    for b in batches:
-        langs = b.column(2).to_pylist()
-        for start, ws, h, _, _ in _tokens(b.column(1).to_pylist(), langs):
-            u, at = np.unique(h, return_index=True)
-            raw = ws.buf.tobytes()
-            text = [raw[i:j].decode("utf-8", "replace") for i, j in zip(ws.start[at].tolist(), ws.end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(text), pa.array([langs[start + i] for i in ws.doc[at].tolist()])], names=["word", "text", "lang"])
-
-
-def word_perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """row, perplexity, n_bytes, repeats (share of words equal to the one before) of each of docs (row, text, lang) that has words, under the
-    model of trusted (text, lang); lang not null.
-
-    A language without trusted text has a uniform model over bytes."""
-    spark = docs.sparkSession
-    counts = trusted.select("text", "lang").mapInArrow(_pairs, "lang string, pair long, word long, before long, n long")
-    counts = counts.groupBy("pair").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("before").alias("before"), F.sum("n").alias("n"))
-    counts, counts_at = stored(counts, "kn-pairs")
-    off = counts.join(F.broadcast(_discounts(counts)), F.expr("lang = rl")).withColumn("d", F.expr(OFF))  # one row a language
-    contexts, contexts_at = stored(off.groupBy("before").agg(F.sum("n").alias("total"), F.sum("d").alias("taken")).select(F.col("before").alias("cb"), "total", (F.col("taken") / F.col("total")).alias("gamma")), "kn-contexts")
-    top = off.join(contexts, F.expr("before = cb")).select(F.col("pair").alias("p"), ((F.col("n") - F.col("d")) / F.col("total")).alias("seen"))
-    # A word counts the different words before it.
-    ones, ones_at = stored(counts.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "kn-words")
-    ones = ones.join(F.broadcast(_discounts(ones)), F.expr("lang = rl")).withColumn("d", F.expr(OFF))
-    all_ = ones.groupBy("lang").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("base"))
-    all_ = F.broadcast(all_.withColumnRenamed("lang", "al"))
-    base = train(trusted, order)
-    vocabulary = docs.select("row", "text", "lang").mapInArrow(_vocabulary, "word long, text string, lang string").groupBy("word").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
-    vocabulary, vocabulary_at = stored(vocabulary, "kn-vocabulary")
-    spelt = perplexity(vocabulary.select(F.col("word").alias("row"), F.col("word").alias("doc_id"), "text", "lang"), base, order)
-    spelt = spelt.select(F.col("row").alias("word"), "lang", (-F.col("n_bytes") * F.log("perplexity")).alias("spelt"))
-    known = ones.select(F.col("word").alias("kw"), (F.col("n") - F.col("d")).alias("left"))
-    single = spelt.join(known, F.expr("word = kw"), "left").join(all_, F.expr("lang = al"), "left")
-    single = single.select(F.col("word").alias("w"), (F.coalesce(F.col("left") / F.col("all"), F.lit(0.0)) + F.coalesce("base", F.lit(1.0)) * F.exp("spelt")).alias("alone"), "spelt")
-    single, single_at = stored(single, "kn-single")
-    places = docs.select("row", "text", "lang").mapInArrow(_places, "row long, pair long, word long, before long, n int, size long")
-    met = places.join(top, F.expr("pair = p"), "left").join(contexts.select("cb", "gamma"), F.expr("before = cb"), "left").join(single, F.expr("word = w"))
-    p = F.coalesce("seen", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("alone")
-    # A very long word's probability is below what a double holds: its logarithm then stands for it.
-    logp = F.when(p > 1e-300, F.log(p)).otherwise(F.col("spelt"))
-    again = F.sum(F.when(F.col("word") == F.col("before"), F.col("n")).otherwise(0)) / F.sum("n")
-    out = met.groupBy("row").agg(F.sum(logp * F.col("n")).alias("logp"), F.sum("size").alias("n_bytes"), again.alias("repeats"))
-    out, _ = stored(out.select("row", F.exp(-F.col("logp") / F.col("n_bytes")).alias("perplexity"), "n_bytes", "repeats"), "kn-scores")
-    for at in (counts_at, contexts_at, ones_at, vocabulary_at, single_at):
-        drop(spark, at)
+def scored(rows: DataFrame, carry: list[str], order: int = ORDER) -> DataFrame:
+    """logp, n_bytes, repeats of each of rows, with the columns carry. rows: text, lang (not null), half (0 and 1 are trusted text, 2 is
+    not), chunk. A text without words has 0 bytes."""
+    spark = rows.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("chunk", "lang", "half", "text", *carry)
+    keys, keys_at = stored(rows.select("chunk", "lang", "half", "text").mapInArrow(_keys(shards, order), KEYS), "kn-keys")
+    dealt = keys.where(f"half <> {NOT_TRUSTED}").select("shard", "lang", "half", "keys", "n").repartition(shards, "shard").sortWithinPartitions("shard", "lang", "half")
+    model, model_at = stored(dealt.mapInArrow(_merge(order), MODEL), "kn-model")
+    small = _small(model, order)
+    none = F.lit(None)
+    known = model.select("shard", "lang", F.lit(False).alias("asked"), none.cast("string").alias("chunk"), none.cast("int").alias("half"), "keys", F.col("n0").alias("n"), "n1")
+    empty = F.array().cast("array<long>")
+    asked = keys.select("shard", "lang", F.lit(True).alias("asked"), "chunk", "half", "keys", empty.alias("n"), empty.alias("n1"))
+    both = known.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "lang", "asked")
+    answers = both.mapInArrow(_answers(small, order), ANSWERS)
+    _, answers_at = stored(answers.repartition(shards, "chunk"), "kn-answers", partition="chunk")
+    drop(spark, keys_at)
+    drop(spark, model_at)
+    release(spark)
+    types = dict(rows.dtypes)
+    out = rows.mapInArrow(_score(answers_at, order), ", ".join(["logp double", "n_bytes long", "repeats double", *(f"`{c}` {types[c]}" for c in carry)]))
+    out, _ = stored(out, "kn-scores")
+    drop(spark, answers_at)
+    return out
+
+
+def _small(model: DataFrame, order: int) -> dict:
+    """(lang, variant) -> (orders 1 and 2, discounts of the orders above): at most 65,536 pairs of bytes a language."""
+    low = model.select("lang", F.explode(F.arrays_zip("variant", "low", "times")).alias("x"))
+    low = low.groupBy("lang", "x.variant", "x.low").agg(F.sum("x.times").alias("n")).orderBy("lang", "variant", "low").collect()
+    counts = model.select("lang", F.posexplode("counts").alias("i", "c")).groupBy("lang", "i").agg(F.sum("c").alias("c"), F.max("c").alias("one")).collect()
+    by: dict = {}
+    for r in counts:
+        by.setdefault(r.lang, {})[r.i] = (r.c, r.one)
+    pairs: dict = {}
+    for r in low:
+        pairs.setdefault((r.lang, r.variant), []).append((r.low, r.n))
+    out = {}
+    for (lang, v), x in pairs.items():
+        k, n = np.array(x, np.int64).T
+        taken = {}
+        for i in range(0, len(by[lang]), 6):
+            (_, variant), (_, level) = by[lang][i], by[lang][i + 1]  # the same in all shards
+            if variant == v:
+                taken[level] = discounts(np.array([0, *(by[lang][i + j][0] for j in range(2, 6))]))
+        out[(lang, v)] = low_levels(k, n), taken
     return out
 
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """row, doc_id, lang, perplexity, threshold, n_bytes, kept of every row of docs; row numbers the rows within this call, or is the column
-    row of docs.
+def quality(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """doc_id, lang, perplexity, threshold, n_bytes, kept of every row of docs; or the columns carry of docs, with kept.
 
     Trusted text is that of rows labelled quality 1. A language's threshold is margin times the quantile of its trusted texts' perplexity,
     each under the model of the half of trusted texts that it is not in (of all, where the other half is empty);
     a language without trusted text has none, and its texts are kept. A word said over and over is likely if the word is, so perplexity can't
-    tell it: a text is rejected too if more of its words repeat the one before than margin times the same quantile of trusted texts'. A null lang is a language of its own. A null, empty or blank text
-    has no perplexity and is rejected. Rows that repeat a doc_id are judged each by its text; a doc_id labelled twice is trusted if any
-    of its labels says so; a null doc_id is never trusted. Other columns are not read. An empty table gives an empty result."""
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good, _ = stored(good, "kn-trusted")
-    few = F.broadcast(good) if good.count() <= 2_000_000 else good
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    rows = rows.join(few.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("half", F.when(F.col("trusted"), half))
-    trusted = rows.where("trusted and text is not null")
-    halves = trusted.select(F.col("lang").alias("hl"), (1 - F.col("half")).alias("h")).distinct()  # two rows a language
-    model = F.when(F.col("h").isNull(), F.col("lang")).otherwise(F.concat("lang", F.lit("\0"), (1 - F.col("half")).cast("string")))
-    asked = rows.join(F.broadcast(halves), F.expr("lang = hl and half = h"), "left").select("row", "text", model.alias("lang"))
-    learnt = trusted.select("text", F.explode(F.array("lang", F.concat("lang", F.lit("\0"), F.col("half").cast("string")))).alias("lang"))
-    scored = rows.drop("text", "half").join(word_perplexity(asked, learnt, order), "row", "left").withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0).cast("long")))
-    scored, _ = stored(scored, "kn-judged")
+    tell it: a text is rejected too if more of its words repeat the one before than margin times the same quantile of trusted texts'. A null
+    lang is a language of its own. A null, empty or blank text has no perplexity and is rejected. Rows that repeat a doc_id are judged each
+    by its text; a doc_id labelled twice is trusted if any of its labels says so; a null doc_id is never trusted. Long texts are scored
+    whole. Other columns are not read. An empty table gives an empty result."""
+    spark = docs.sparkSession
+    keep = carry or ["doc_id"]
+    docs = docs.select(*[F.col(c).alias(f"own_{c}") for c in keep], F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    good, good_at = stored(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct(), "kn-trusted")
+    good = good.withColumn("good", F.lit(True))
+    if good.count() <= BROADCAST_IDS:
+        docs = by_split(docs, "kn-rows").join(F.broadcast(good), "id", "left")
+    else:
+        docs = by_split(docs.join(good, "id", "left"), "kn-rows")
+    half = F.when(F.col("good"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")).otherwise(NOT_TRUSTED)
+    own = [f"own_{c}" for c in keep]
+    rows = docs.select("chunk", "lang", half.alias("half"), "text", *own, F.col("lang").alias("own_lang_"), half.alias("own_half_"))
+    out = scored(rows, [*own, "own_lang_", "own_half_"], order)
+    drop(spark, good_at)
+    out = out.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("logp") / F.col("n_bytes"))))
     most = [(F.percentile_approx(c, F.lit(quantile), F.lit(20000)) * margin).alias(n) for c, n in (("perplexity", "threshold"), ("repeats", "limit"))]
-    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg(*most)
-    out = scored.join(F.broadcast(limits), "lang", "left")  # one row a language
+    limits = out.where(f"own_half_ <> {NOT_TRUSTED} and perplexity is not null").groupBy("own_lang_").agg(*most)
+    out = out.join(F.broadcast(limits), "own_lang_", "left")  # one row a language
     kept = F.coalesce((F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf")))) & (F.col("repeats") <= F.coalesce("limit", F.lit(1.0))), F.lit(False))
-    return out.select("row", "doc_id", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", "n_bytes", kept.alias("kept"))
+    if carry:
+        return out.select(*[F.col(f"own_{c}").alias(c) for c in carry], kept.alias("kept"))
+    return out.select(F.col("own_doc_id").alias("doc_id"), F.when(F.col("own_lang_") != "", F.col("own_lang_")).alias("lang"), "perplexity", "threshold", "n_bytes", kept.alias("kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

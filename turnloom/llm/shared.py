@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='turnloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
@@ -39,14 +42,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, partition: str | None = None) -> tuple[DataFrame, str]:
     """Cut lineage: write df to the shared folder and read it again. Returns the table and its path, for drop()."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is read straight from files, without a shuffle, so that _metadata names where each row is."""
+    if "_metadata" in df.columns:
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return False
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def files_of(path: str) -> Iterator[pa.Table]:
+    """The Parquet files of a stored table's folder, read in a task; none if there is no such folder."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    where, root = fs.FileSystem.from_uri(path)
+    for info in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.is_file and info.base_name.startswith("part-"):
+            with where.open_input_file(info.path) as f:
+                yield pq.read_table(f)
+
+
 def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, str]:
     """Connected components of undirected edges (a, b): one row (node, comp) per node, comp being its smallest node.
 
