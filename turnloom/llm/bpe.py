@@ -71,6 +71,10 @@ class Vocabulary:
         marked = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
         return [bytes([self.byte[c] for c in w]).decode() for w, _ in marked]
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: their tokens joined by spaces, as the vocabulary has no decoder of its own."""
+        return " ".join(map(self.token.__getitem__, ids))
+
     def ranks_of(self, key: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
         at = np.minimum(np.searchsorted(self.sorted_keys, key), len(self.sorted_keys) - 1)
@@ -188,10 +192,9 @@ class Encoder:
             at = at.tolist()
             flat = flat.tolist()
             numbers = list(map(str, flat))
-            names = list(map(self.v.token.__getitem__, flat))
             for k, w in enumerate(todo):
                 word_ids[w] = " ".join(numbers[at[k] : at[k + 1]])
-                word_tokens[w] = " ".join(names[at[k] : at[k + 1]])
+                word_tokens[w] = self.v.decode(flat[at[k] : at[k + 1]])
         for c, ws in parts.items():
             if len(ws) == 1:
                 ids[c], tokens[c] = word_ids[ws[0]], word_tokens[ws[0]]
@@ -238,8 +241,16 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     gives an empty result. The vocabulary's path must be readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and the collector would walk the cache again and again
         encoder = Encoder(path)
+        was = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the collector would walk the cache again and again
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            if was:  # the worker may run other code after this
+                gc.enable()
+
+    def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             n, ids, out, full = [], [], [], []
@@ -260,5 +271,18 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def bpe_decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """rows with the column decoded, the text of each row's ids. Null or empty ids give an empty text; an id that the vocabulary does not
+    have, or a null one, is an error. An empty table gives an empty result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(path)
+        for b in batches:
+            at = b.schema.get_field_index(ids)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names=[*b.schema.names, "decoded"])
+
+    return rows.drop("decoded").mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.drop("decoded").dtypes), "decoded string"]))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
