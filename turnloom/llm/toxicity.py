@@ -27,17 +27,26 @@ LEAST_Z = 3.5
 RIDGE = 0.2
 SWAP = 2.0  # weight of the counterfactual penalty
 THRESHOLD = 0.7
-#: Groups of terms that may stand for each other.
-IDENTITY = (
-    "women men woman man girls boys wife husband",
-    "muslim christian jewish hindu buddhist atheist catholic",
-    "black white asian latino arab african european",
-    "gay lesbian straight bisexual transgender queer",
-    "immigrant refugee foreigner native disabled deaf blind elderly young",
-    "frauen männer frau mann muslimisch christlich jüdisch schwarz weiß schwul lesbisch",
-    "femmes hommes femme homme musulman chrétien juif noir blanc gai lesbienne",
-    "mujeres hombres mujer hombre musulmán cristiano judío negro blanco gay lesbiana",
-)
+#: Terms that may stand for each other: fixed values, by language and category. A term may be in tables of several languages.
+IDENTITY = {
+    "en": (
+        "women men girls boys",
+        "woman man girl boy",
+        "wife husband",
+        "muslim christian jewish hindu buddhist atheist catholic",
+        "muslims christians jews hindus buddhists atheists catholics",
+        "black white asian latino arab african european",
+        "gay lesbian straight bisexual transgender queer",
+        "immigrant refugee foreigner native",
+        "immigrants refugees foreigners natives",
+        "disabled deaf blind",
+        "elderly young",
+    ),
+    "de": ("frauen männer mädchen jungen", "frau mann", "muslimisch christlich jüdisch", "muslime christen juden", "schwarz weiß", "schwul lesbisch hetero"),
+    "fr": ("femmes hommes", "femme homme", "musulman chrétien juif", "musulmans chrétiens juifs", "noir blanc", "gai hétéro", "lesbienne hétérosexuelle"),
+    "es": ("mujeres hombres", "mujer hombre", "musulmán cristiano judío", "musulmanes cristianos judíos", "negro blanco", "gay hetero", "lesbiana heterosexual"),
+}
+MARKS = ".,!?;:\"'()[]*#$%&|-"  # punctuation at a word's ends
 
 
 def features(norm: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +54,7 @@ def features(norm: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     w = words.Words(norm)
     # Punctuation at a word's ends is not part of its feature.
     mark = np.zeros(256, bool)
-    mark[[*b".,!?;:\"'()[]*#$%&|-"]] = True
+    mark[[*MARKS.encode()]] = True
     s, e = w.start.copy(), w.end.copy()
     for _ in range(3):
         e -= (e > s) & mark[w.buf[np.maximum(e - 1, 0)]]
@@ -60,25 +69,39 @@ def features(norm: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(feats)
 
 
-def swaps(norm: bytes, groups=IDENTITY) -> list[bytes]:
-    """Counterfactuals of a text: each with every identity term replaced by another of its group (the next, and the one after)."""
-    ws = norm.split()
-    out = []
+def _turns(tables, step: int) -> dict[str, dict[str, str]]:
+    """Per language each term's stand-in: the one step places on in its category."""
+    return {lang: {t: ts[(i + step) % len(ts)] for g in groups for ts in [g.split()] for i, t in enumerate(ts)} for lang, groups in tables.items()}
+
+
+def swaps(norm: bytes, tables=IDENTITY) -> list[bytes]:
+    """Counterfactuals of a text: each with every identity term replaced by another of its category (the next, and the one after).
+
+    The tables of one language are used: of the one that has the most of the text's words, the first of equals. A word is compared without
+    the punctuation at its ends, which stays, and without regard to case."""
+    ws = norm.decode("utf-8", "replace").split()
+    cores = [w.strip(MARKS) for w in ws]
+    lower = [c.lower() for c in cores]
+    out: list[bytes] = []
+    best = None
     for step in (1, 2):
-        turn = {}
-        for g in groups:
-            terms = g.encode().split()
-            turn |= {t: terms[(i + step) % len(terms)] for i, t in enumerate(terms)}
-        new = [turn.get(x, x) for x in ws]
-        if new != ws:
-            out.append(b" ".join(new))
+        turns = _turns(tables, step)
+        if best is None:
+            hits = {lang: sum(x in turn for x in lower) for lang, turn in turns.items()}
+            best = max(hits, key=hits.get, default=None)
+            if best is None or not hits[best]:
+                return out
+        turn = turns[best]
+        new = " ".join(w.replace(c, turn[x], 1) if x in turn else w for w, c, x in zip(ws, cores, lower, strict=True)).encode()
+        if new != norm and new not in out:
+            out.append(new)
     return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         label = np.asarray(b.column(1))
-        for start, norm in words.blocks(b.column(0).to_pylist()):
+        for start, norm in words.blocks(b.column(0)):
             f, off = words.per_doc_unique(*features(norm), len(norm))
             y = np.repeat(label[start : start + len(norm)], np.diff(off))
             u, at = np.unique(f, return_inverse=True)
@@ -98,7 +121,7 @@ def _vectors(keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label = b.column(1)
-            for start, norm in words.blocks(b.column(0).to_pylist()):
+            for start, norm in words.blocks(b.column(0)):
                 other = [swaps(x) for x in norm]
                 flat = iter(chosen([y for x in other for y in x]) if any(other) else [])
                 yield pa.RecordBatch.from_arrays(
@@ -109,8 +132,9 @@ def _vectors(keys: np.ndarray):
     return run
 
 
-def fit(rows: list, n: int) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton steps on the regularised log-likelihood. rows: (label, features, counterfactuals')."""
+def fit(rows: list, n: int, swap: float = SWAP) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton steps on the log-likelihood, less a ridge and swap times the squared change of the
+    logit under each counterfactual. rows: (label, features, counterfactuals' features)."""
     x = np.zeros((len(rows), n + 1))
     x[:, n] = 1
     y = np.array([r[0] for r in rows], float)
@@ -128,7 +152,7 @@ def fit(rows: list, n: int) -> np.ndarray:
     fixed = np.diag(ridge)
     if diff:
         z = np.array(diff)
-        fixed += 2 * SWAP * z.T @ z
+        fixed += 2 * swap * z.T @ z
     w = np.zeros(n + 1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -141,13 +165,19 @@ def fit(rows: list, n: int) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted feature hashes, weights) from labelled rows whose crc32(doc_id) mod 3 is not 1."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, least_z: float = LEAST_Z, swap: float = SWAP) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted feature hashes, weights) from labelled rows whose crc32(doc_id) mod 3 is not 1.
+
+    At most sample rows a label are learnt from, those with the smallest hashes of doc_id, equals by doc_id; at most `most` features are
+    kept, of those whose presence differs between the labels by least_z standard errors or more, the most different first, equals by hash.
+    swap weighs the counterfactual penalty. A doc_id labelled twice is toxic if any of its labels says so; rows of documents that repeat a
+    doc_id are each a row of the sample. Null texts and doc_ids teach nothing. Without rows of both labels there are no features, and the
+    intercept is 0; an empty table is such a case."""
     lab = labels.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     order = F.xxhash64("doc_id")
     lab = lab.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
-    ids = lab.where("label = 1").orderBy(order, "doc_id").limit(SAMPLE).union(lab.where("label = 0").orderBy(order, "doc_id").limit(SAMPLE))
-    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "label")  # at most 2 * SAMPLE rows
+    ids = lab.where("label = 1").orderBy(order, "doc_id").limit(sample).union(lab.where("label = 0").orderBy(order, "doc_id").limit(sample))
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "label")  # two labels' samples
     rows, _ = stored(rows, "toxic-sample")
     size = rows.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
     if not size.n or not size.n1 or size.n1 == size.n:
@@ -156,18 +186,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FEATURES) -> tuple[np.
     c = rows.mapInArrow(_counts, "f long, n1 long, n long").groupBy("f").agg(F.sum("n1").alias("a"), F.sum("n").alias("m")).where("m >= 3")
     p = F.col("m") / n
     z = (F.col("a") - F.col("m") * (n1 / n)) / F.sqrt(F.col("m") * (n1 / n) * (1 - n1 / n) * (1 - p) + 1e-9)
-    top = c.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(most).select("f").toPandas()["f"]
+    top = c.withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(most).select("f").toPandas()["f"]
     keys = np.sort(top.to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return keys, np.array([np.log(n1 / (n - n1))])
     seen = [(r.label, r.at, r.other) for r in rows.mapInArrow(_vectors(keys), "label double, at array<int>, other array<array<int>>").collect()]
-    return keys, fit(sorted(seen), len(keys))
+    return keys, fit(sorted(seen), len(keys), swap)
 
 
 def _score(keys: np.ndarray, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, norm in words.blocks(b.column(1).to_pylist()):
+            for start, norm in words.blocks(b.column(1)):
                 total = np.full(len(norm), weights[-1])
                 if len(keys):
                     d, f = features(norm)
