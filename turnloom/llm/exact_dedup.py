@@ -1,10 +1,12 @@
 """Exact deduplication by a stateful stream.
 
-Digest rows (digest, doc_id, code points) of all documents are streamed through an aggregation keyed by the digest. Its state lives in
-RocksDB, on disk, with changelog checkpoints in the shared folder; it has no watermark and so never expires. It holds the digest, the
-stable identifier of the row that stays and its content locator, here the pair (doc_id, row hash) under which the text is found again.
-Digests that were hit more than once are then checked on full bytes: the texts of one digest must have equal smallest and largest values.
-Everything is DataFrame or SQL functions."""
+Rows (digest, doc_id, code points, content locator) of all documents are streamed, in several micro-batches, through an aggregation keyed by
+the digest. Its state lives in RocksDB, on disk, with changelog checkpoints in the shared folder; it has no watermark and so never expires.
+It holds the digest, the stable identifier of the row that stays and its content locator: the file (a hash of its path) and the row in it
+where the text is found again. A stream that is started again on the same checkpoint goes on where it ended.
+
+Digests that were hit more than once are then checked on full bytes: all texts of the digest must equal the text at the locator. Texts of a
+digest that do not are told apart by their bytes. Everything is DataFrame or SQL functions."""
 
 from __future__ import annotations
 
@@ -12,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .shared import drop, scratch, stored
+from .shared import drop, is_scan, scratch, stored
 
 BLANK = " \t\n\x0b\x0c\r"
+BATCHES = 2  # micro-batches at least
+BATCH_FILES = 4096  # files of digests in a micro-batch, at most
+BROADCAST_HITS = 300_000  # digests that were hit: about 100 bytes each
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -30,15 +35,21 @@ def normal(text) -> F.Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def dedup_stream(rows: DataFrame, out: str, checkpoint: str) -> None:
-    """Run the stateful stream over all rows there are; each micro-batch writes the digests it changed to out."""
-    keeper = F.max(F.struct("code_points", "back", "locator")).alias("keeper")
+def dedup_stream(path: str, schema, out: str, checkpoint: str, spark: SparkSession, batches: int = BATCHES) -> None:
+    """Run the stateful stream over the files at path that it has not read yet; each micro-batch writes the digests it changed to out.
+
+    The files are read in at least `batches` micro-batches of at most BATCH_FILES files each. Columns: digest, doc_id, code_points, file,
+    at."""
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, min(BATCH_FILES, -(-files // batches)))).parquet(path)
+    keeper = F.max(F.struct("code_points", (-F.col("doc_id")).alias("back"), "file", "at")).alias("keeper")
     state = rows.groupBy("digest").agg(keeper, F.count(F.lit(1)).alias("group_size"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select("digest", -F.col("keeper.back"), "keeper.locator", "group_size", F.lit(number)).toDF("digest", "keep_id", "locator", "group_size", "batch").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = batch.select("digest", (-F.col("keeper.back")).alias("keep_id"), "keeper.file", "keeper.at", "group_size", F.lit(number).cast("long").alias("batch"))
+        new.write.mode("overwrite").parquet(f"{out}/part={number}")
 
-    conf, old = rows.sparkSession.conf, {}
+    conf, old = spark.conf, {}
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -58,43 +69,60 @@ def dedup_stream(rows: DataFrame, out: str, checkpoint: str) -> None:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+STATE = "digest string, keep_id long, file long, at long, group_size long, batch long"
+
+
+def last_state(spark: SparkSession, out: str) -> DataFrame:
+    """The last row of each digest in what dedup_stream wrote: a later micro-batch's row stands for all before."""
+    spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{out}/part=-1")
+    state = spark.read.schema(STATE).parquet(out).groupBy("digest").agg(F.max_by(F.struct("keep_id", "file", "at", "group_size"), "batch").alias("s"))
+    return state.select("digest", "s.*")
+
+
+def sha256(norm) -> F.Column:
+    return F.sha2(norm, 256)
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, batches: int = BATCHES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
     Texts are equal when identical without ASCII blanks; null counts as empty, so all null, empty and blank texts are one group. Of equal
     texts the one with the most code points stays, then the smallest doc_id; a row without doc_id stays only if its group has no other
-    id, and then kept is true for each such row. Rows that repeat a doc_id in a group count each and are kept alike. An empty table gives
-    an empty result; other columns are not read."""
+    id, and then kept is true for each such row. Rows that repeat a doc_id in a group count each and are kept alike. Texts are taken
+    whole, however long. digest makes a string of a normalised text; another than SHA-256 changes no group, only the work. An empty table
+    gives an empty result; other columns are not read."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", normal(F.col("text")).alias("norm"))
-    skinny = rows.select(
-        "doc_id",
-        F.sha2("norm", 256).alias("digest"),
-        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("code_points"),
-    )
-    digests, at = stored(skinny, "dedup-digests")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if not is_scan(docs):
+        docs, _ = stored(docs, "dedup-rows")
+    norm = normal(F.col("text"))
+    rows = docs.select("doc_id", "text", norm.alias("norm"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    points = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("code_points")
+    digests, at = stored(rows.select("doc_id", digest(F.col("norm")).alias("digest"), points, "file", "at"), "dedup-digests")
     out, checkpoint = scratch(spark, "dedup-state"), scratch(spark, "dedup-checkpoint")
-    source = spark.readStream.schema(digests.schema).parquet(at)
-    dedup_stream(source.select("digest", "code_points", (-F.col("doc_id")).alias("back"), F.col("doc_id").alias("locator")), out, checkpoint)
-    drop(spark, checkpoint)
-    schema = "digest string, keep_id long, locator long, group_size long, batch long"
-    spark.createDataFrame([], schema).drop("batch").write.parquet(f"{out}/batch=-1")
-    # The last state of each digest: a later micro-batch's row stands for all before.
-    state = spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max_by(F.struct("keep_id", "group_size"), "batch").alias("s"))
-    state, state_at = stored(state.select("digest", "s.keep_id", "s.group_size"), "dedup-final")
+    dedup_stream(at, digests.schema, out, checkpoint, spark, batches)
+    state, state_at = stored(last_state(spark, out), "dedup-final")
     drop(spark, out)
+    drop(spark, checkpoint)
 
-    hits = state.where("group_size > 1").select("digest")
-    few = hits.count() <= 500_000
-    texts = rows.select(F.sha2("norm", 256).alias("digest"), "norm").join(F.broadcast(hits) if few else hits, "digest", "left_semi")
-    clash = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
-    clash, clash_at = stored(clash, "dedup-clash")
-    if not clash.isEmpty():
-        raise ArithmeticError("two different texts have one SHA-256 digest")
-    drop(spark, clash_at)
-    found = digests.join(state.withColumnRenamed("digest", "key"), F.expr("digest = key"))
-    return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("digest").alias("text_sha256"))
+    hits = state.where("group_size > 1").select(F.col("digest").alias("key"), F.col("file").alias("own_file"), F.col("at").alias("own_at"))
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+    same = F.col("file").eqNullSafe(F.col("own_file")) & F.col("at").eqNullSafe(F.col("own_at"))
+    texts = rows.select(digest(F.col("norm")).alias("digest"), "norm", "file", "at").join(hits, F.expr("digest = key"))
+    # Aggregated before they are shuffled, so a group of any size sends three texts a task.
+    seen = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.max(F.when(same, F.col("norm"))).alias("own"))
+    clash, clash_at = stored(seen.where("not (low <=> own and high <=> own)").select("digest"), "dedup-clash")
+    state = state.select(F.col("digest").alias("key"), "keep_id", "group_size")
+    if clash.isEmpty():
+        drop(spark, clash_at)
+        found = digests.join(state, F.expr("digest = key"))
+        return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("digest").alias("text_sha256"))
+    clean = digests.join(clash, "digest", "left_anti").join(state, F.expr("digest = key")).select("doc_id", "keep_id", "group_size", F.col("digest").alias("text_sha256"))
+    apart = rows.select("doc_id", "norm", points, digest(F.col("norm")).alias("digest")).join(clash, "digest", "left_semi")
+    keeper = F.max(F.struct("code_points", (-F.col("doc_id")).alias("back"))).alias("keeper")
+    groups = apart.groupBy("norm").agg(keeper, F.count(F.lit(1)).alias("group_size")).withColumnRenamed("norm", "other")
+    apart = apart.join(groups, F.expr("norm = other")).select("doc_id", (-F.col("keeper.back")).alias("keep_id"), "group_size", sha256(F.col("norm")).alias("text_sha256"))
+    return clean.union(apart).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
