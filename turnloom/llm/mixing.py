@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return w.select("source", "source_size", F.when(F.col("common").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("common") * F.col("weight"))).alias("target"))
 
 
-def dual(hist: DataFrame, aims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Per source its dual variable: Newton steps, or bisection where one leaves the bracket. hist: source, size, n; aims: source,
+def dual(hist: DataFrame, aims: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
+    """Per source its dual variable, and the path of that table: Newton steps, or bisection where one leaves the bracket. hist: source, size, n; aims: source,
     source_size, target, scale. A source whose target is all it may give has no finite optimum and takes the bracket's end."""
     spark = hist.sparkSession
     full = F.col("target") >= F.col("source_size") * float(MOST) * (1 - 1e-12)
@@ -80,7 +80,7 @@ def dual(hist: DataFrame, aims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         at, path = new, new_path
         if at.where(~F.col("done")).isEmpty():
             break
-    return at
+    return at, path
 
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,23 +107,25 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(per document doc_id, size, source_size, target, taken, copies and pick; per source its target).
 
-    Null texts have size 0 and are never copied; a null source is a source of its own, the last. A null doc_id and repeated rows are
+    Null, empty and blank texts have size 0 and are never taken (copies 0); a null source is a source of its own, the last. A null doc_id and repeated rows are
     documents like any other. Copies are whole, so a source's words may miss its target by half of its shortest document. An empty table, or one without words, gives targets of 0. A column row is passed on. Other columns are not read."""
     spark = docs.sparkSession
     row = ["row"] if "row" in docs.columns else []
     d = docs.select(*row, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     d, _ = stored(d, "mix-sizes")
-    hist, _ = stored(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
+    hist, hist_at = stored(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     per = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     aims, _ = stored(targets(per.select("source", "source_size")), "mix-targets")
     scales = per.select("source", (F.greatest("source_size", F.lit(1)) / F.col("docs")).alias("scale"))
     scaled = aims.alias("a").join(scales.withColumnRenamed("source", "s"), F.expr("a.source <=> s")).select("source", "source_size", "target", "scale")
-    solved = dual(hist, scaled)
+    solved, solved_at = dual(hist, scaled)
     cells = hist.alias("h").join(solved.select(F.col("source").alias("s"), "target", "scale", "t"), F.expr("h.source <=> s")).drop("s")
     # One group a source, with one row for each different size: bounded by the sizes that texts have, not by the documents.
     copies = cells.groupBy("source").applyInPandas(_round, "source string, size long, n long, copies long")
     copies = copies.alias("c").join(aims.withColumnRenamed("source", "s"), F.expr("c.source <=> s")).drop("s")
     copies, _ = stored(copies, "mix-copies")
+    drop(spark, hist_at)
+    drop(spark, solved_at)
     # Documents of a cell are ranked in parts of about CELL; a part's share of the extra copies follows from the parts before it.
     tag = F.xxhash64("doc_id")
     right = copies.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "copies", "source_size", "target")
@@ -137,6 +139,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranked = one.withColumn("rank", rank).join(parts, F.expr("source <=> s and size = z and part = p"), "left")
     extra = F.col("copies") - F.floor(F.col("copies") / F.col("n")) * F.col("n")
     picked = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") + F.coalesce("before", F.lit(0)) <= extra, 1).otherwise(0)
+    picked = F.when(F.col("size") > 0, picked).otherwise(0)
     out = ranked.select(*row, "doc_id", "source", "size", "source_size", "target", picked.cast("long").alias("copies"))
     return out.select(*row, "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"), aims
 
