@@ -45,9 +45,7 @@ def _only(docs: DataFrame, places: DataFrame, kept: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    docs = _numbered(docs)
-    kept, _ = stored(kneser_ney.quality(docs, table(spark, sf_dir, "labels")).where("kept").select("row"), "stage-quality")
-    return _by_row(docs, kept, "left_semi").select(*COLUMNS)
+    return kneser_ney.quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
