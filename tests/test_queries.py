@@ -7,22 +7,28 @@ import __spark_entry__ as entry
 from turnloom.plans import catalog
 
 AT = "/root/testdata/sf0.001"
-SOME = ["overlap_report", "overlap_pairs", "clean_span", "coverage_union", "published_ledger", "head_of_line_block", "calibration_pick", "medoid", "normalized_text", "srt_export"]
+NO_ROWS = {"near_span_rewrite", "calibration_pick"}  # no such case in these tables; tests of the rules have them
 
 
 def canon(rows):
     return sorted(str(["%.9g" % float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", SOME)
-def test_query_matches_oracle(spark, name):
-    con = duckdb.connect()
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
     for t in catalog.TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{AT}/{t}.parquet')")
-    df = catalog.run(name)(spark, AT) if name in catalog.ENTRIES else entry.queries()[name](spark, AT)
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{AT}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracles()))
+def test_query_matches_oracle(spark, con, name):
+    df = catalog.queries()[name](spark, AT)
     cols = sorted(df.columns)
-    other = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]}) q").fetchall()
+    other = con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.oracles()[name]}) q").fetchall()
     assert canon(tuple(r) for r in df.select(*cols).collect()) == canon(other)
+    assert other or name in NO_ROWS
 
 
 def test_contract(spark):

@@ -24,6 +24,13 @@ MACROS = {
     "STR": ("CAST({0} AS string)", "CAST({0} AS varchar)"),
     "PCT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "JOINED": ("array_join(transform(array_sort(collect_list(struct({1}, {0}))), x -> x.{0}), {2})", "string_agg({0}, {2} ORDER BY {1})"),
+    "DIV": ("({0} div {1})", "({0} // {1})"),
+    "SIZE": ("size({0})", "len({0})"),
+    "VECTOR": ("transform(array_sort(collect_list(struct({0}, {1}))), e -> e.{1})", "list({1} ORDER BY {0})"),
+    "SORTED_SET": ("array_sort(collect_set({0}))", "list_sort(list(DISTINCT {0}))"),
+    "TEXT_OF": ("array_join({0}, {1})", "array_to_string({0}, {1})"),
+    "PAD2": ("CASE WHEN length({0}) < 2 THEN lpad({0}, 2, '0') ELSE {0} END", "CASE WHEN length({0}) < 2 THEN lpad({0}, 2, '0') ELSE {0} END"),
+    "MEDIAN": ("percentile({0}, 0.5)", "quantile_cont({0}, 0.5)"),
     "NTH": ("element_at({0}, {1})", "({0})[{1}]"),
 }
 
@@ -116,13 +123,13 @@ def statement(text: str) -> str:
 
 def queries() -> dict:
     from ..operators import kernels
-    from . import definitions  # noqa: F401  registers the entries
+    from . import definitions, rules  # noqa: F401  these register the entries
 
     return {n: run(n) for n in ENTRIES} | kernels.QUERIES
 
 
 def oracles() -> dict[str, str]:
     from ..operators import kernels
-    from . import definitions  # noqa: F401
+    from . import definitions, rules  # noqa: F401
 
     return {n: oracle(n) for n in ENTRIES} | {n: statement(sql) for n, sql in kernels.ORACLE.items()}

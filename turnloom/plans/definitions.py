@@ -18,19 +18,11 @@ def both(name: str, text: str) -> None:
 # Intervals
 OVER = "least(l_end, r_end) - greatest(l_start, r_start)"
 both("overlap_pairs", f"SELECT rec, l_id, r_id, round({OVER}, 6) AS seconds FROM #PAIRS p WHERE l_id < r_id AND l_speaker <> r_speaker")
-both("overlap_report", f"""SELECT t.rec, t.speaker, @BIG(count(*)) AS turns, round(sum(t.#END - t.start), 6) AS seconds, @BIG(sum(coalesce(o.n, 0))) AS n_overlaps, round(avg(1 - coalesce(o.worst, 0)), 6) AS quality
- FROM $turns t LEFT JOIN (SELECT l_id, count(*) AS n, max(least(1, ({OVER}) / (l_end - l_start))) AS worst FROM #PAIRS p WHERE l_speaker <> r_speaker GROUP BY l_id) o ON t.id = o.l_id GROUP BY t.rec, t.speaker""")
 both("interval_iou", f"SELECT l_id, r_id, round(({OVER}) / (greatest(l_end, r_end) - least(l_start, r_start)), 6) AS iou FROM #PAIRS p WHERE l_id < r_id")
 both("cannot_link_edges", "SELECT DISTINCT rec, least(l_id, r_id) AS a, greatest(l_id, r_id) AS b FROM #PAIRS p WHERE l_speaker <> r_speaker")
-both("snapshot_duplicates", f"SELECT l_id, r_id FROM #PAIRS p WHERE l_id < r_id AND l_speaker = r_speaker AND ({OVER}) >= 0.25 * (greatest(l_end, r_end) - least(l_start, r_start))")
-both("overlap_quality", f"""SELECT t.id, round(1 - coalesce(o.worst, 0), 6) AS quality FROM $turns t LEFT JOIN
- (SELECT l_id, max(least(1, ({OVER}) / (l_end - l_start))) AS worst FROM #PAIRS p WHERE l_speaker <> r_speaker AND l_end > l_start GROUP BY l_id) o ON t.id = o.l_id""")
 both("containment_split", "SELECT l_id AS parent, @BIG(count(*)) AS children FROM #PAIRS p WHERE r_start >= l_start AND r_end <= l_end AND l_speaker = r_speaker GROUP BY l_id HAVING count(*) >= 2")
 both("containment_merge", "SELECT r_id AS child, @BIG(count(*)) AS parents FROM #PAIRS p WHERE r_start >= l_start AND r_end <= l_end GROUP BY r_id HAVING count(*) >= 2")
 both("overlap_exclusions", "SELECT l_id AS id, @BIG(count(DISTINCT r_speaker)) AS excluded, min(r_speaker) AS first_excluded FROM #PAIRS p WHERE l_speaker <> r_speaker GROUP BY l_id")
-both("partition_exclusions", "SELECT DISTINCT l_id AS id, r_speaker AS occupied FROM #PAIRS p WHERE l_speaker <> r_speaker")
-both("alignment_score", f"""SELECT l_id, r_speaker AS output, round(sum(({OVER}) * (0.55 * ({OVER}) / (l_end - l_start) + 0.25 * ({OVER}) / (greatest(l_end, r_end) - least(l_start, r_start)))), 6) AS score
- FROM #PAIRS p WHERE l_end > l_start GROUP BY l_id, r_speaker""")
 both("material_successor", "SELECT DISTINCT l_id AS id FROM #PAIRS p WHERE r_start > l_start + 0.25 AND r_end >= l_end - 0.25 AND l_speaker <> r_speaker")
 both("clean_span", """SELECT id, round(span_start, 6) AS span_start, round(span_end, 6) AS span_end FROM (
  SELECT id, gap_start AS span_start, gap_end AS span_end, row_number() OVER (PARTITION BY id ORDER BY round(gap_end - gap_start, 6) DESC, gap_start) AS r FROM (
@@ -42,9 +34,6 @@ both("clean_span", """SELECT id, round(span_start, 6) AS span_start, round(span_
 ISLANDS = """SELECT rec, speaker, isle, min(start) AS s, max(#END) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY rec, speaker ORDER BY start, id ROWS UNBOUNDED PRECEDING) AS isle FROM (
  SELECT *, CASE WHEN start <= max(#END) OVER (PARTITION BY rec, speaker ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM $turns) a) b GROUP BY rec, speaker, isle"""
 both("coverage_union", f"SELECT rec, speaker, @BIG(count(*)) AS islands, round(sum(e - s), 6) AS seconds FROM ({ISLANDS}) i GROUP BY rec, speaker")
-both("confirmed_support", f"SELECT rec, speaker, @BIG(count(*)) AS islands FROM ({ISLANDS}) i GROUP BY rec, speaker HAVING sum(e - s) >= 1.5 AND count(*) >= 2")
-both("nearest_neighbor_gap", """SELECT id, round(least(coalesce(start - before, 1e9), coalesce(after - #END, 1e9)), 6) AS gap FROM (
- SELECT *, max(#END) OVER (PARTITION BY rec ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(start) OVER (PARTITION BY rec ORDER BY start, id) AS after FROM $turns) t""")
 both("acoustic_bins", "SELECT id, @BIG(floor(start / 0.1 + 0.5)) AS bin_start, @BIG(floor(#END / 0.1 + 0.5)) AS bin_end FROM $turns")
 both("turn_duration", "SELECT id, round(greatest(0, #END - start), 6) AS seconds FROM $turns")
 both("valid_turns", "SELECT id FROM $turns WHERE start >= 0 AND #END >= start AND trim(speaker) <> ''")
@@ -60,25 +49,12 @@ both("short_tail", """SELECT l_id, r_id FROM #PAIRS p WHERE l_speaker <> r_speak
 both("lane_union", "SELECT rec, speaker, @BIG(dense_rank() OVER (PARTITION BY rec ORDER BY first_start, speaker)) AS lane FROM (SELECT rec, speaker, min(start) AS first_start FROM $turns GROUP BY rec, speaker) t")
 both("speaker_legend", "SELECT rec, speaker, round(min(start), 6) AS first_release, @BIG(count(*)) AS turns FROM $turns GROUP BY rec, speaker")
 both("latency_percentiles", "SELECT rec, round(@PCT(#END - start, 0.5), 6) AS p50, round(@PCT(#END - start, 0.95), 6) AS p95, round(max(#END - start), 6) AS worst FROM $turns GROUP BY rec")
-both("rtf_weighted", "SELECT round(sum(#END - start) / sum(86400.0), 9) AS rtf, @BIG(count(*)) AS turns FROM $turns")
 both("stage_profile", "SELECT speaker AS stage, round(sum(#END - start), 6) AS total, round(sum(#END - start) / (SELECT sum(#END - start) FROM $turns), 9) AS share FROM $turns GROUP BY speaker")
-both("duration_resolution", "SELECT rec, round(coalesce(CASE WHEN max(user_id) % 2 = 0 THEN 86400.0 END, max(#END)), 6) AS seconds FROM $turns GROUP BY rec")
 both("mode_confidence", "SELECT speaker AS mode, @BIG(count(*)) AS n, round(min(#END - start), 6) AS low, round(avg(#END - start), 6) AS mean, round(max(#END - start), 6) AS high FROM $turns GROUP BY speaker")
-both("validation_rollup", "SELECT rec, @BIG(count(*)) AS ticks, @BIG(sum(CASE WHEN #END - start > 400 THEN 1 ELSE 0 END)) AS failed, round(max(#END - start), 6) AS worst, min(CASE WHEN #END >= start THEN 1 ELSE 0 END) = 1 AS passed FROM $turns GROUP BY rec")
-both("publish_gate", "SELECT rec, count(*) > 0 AND count(*) = count(DISTINCT id) AND min(#END - start) >= 0 AND max(CASE WHEN trim(speaker) = '' THEN 1 ELSE 0 END) = 0 AS publishable FROM $turns GROUP BY rec")
-both("revision_key", "SELECT id, concat(@STR(@BIG(floor(start * 100 + 0.5))), ':', @STR(@BIG(floor(#END * 100 + 0.5))), ':', lower(replace(text, ' ', ''))) AS revision_key FROM $turns")
-both("stable_ids", "SELECT id, @SHA(concat(@STR(@BIG(floor(start * 1e6 + 0.5))), '|', @STR(@BIG(floor(#END * 1e6 + 0.5))), '|', lower(text))) AS segment_id FROM $turns")
 both("ordered_evidence", "SELECT rec, id, @BIG(row_number() OVER (PARTITION BY rec ORDER BY #END, start, id)) AS place FROM $turns")
-both("final_content_gate", "SELECT rec, max(CASE WHEN #END - start >= 0.4 THEN 1 ELSE 0 END) = 0 OR count(*) > 0 AS passes FROM $turns GROUP BY rec")
-both("fully_assigned", "SELECT t.rec, @BIG(count(*)) AS unassigned FROM $turns t LEFT JOIN $labels l ON t.id = l.doc_id WHERE l.doc_id IS NULL GROUP BY t.rec")
-both("tick_projection", "SELECT id, rec, round(#END, 6) AS tick, speaker, round(greatest(0, #END - 60), 6) AS window_start, text AS committed, text AS delta FROM $turns")
 both("context_confidence", "SELECT id, round(greatest(0, #END - start) / (1 + greatest(0, #END - start)), 6) AS confidence, round(least(1, greatest(0, (#END - start) / 100)), 6) AS clamped, round(1 / (1 + exp(-(#END - start - 50) / 10)), 6) AS inlier FROM $turns")
 both("bounded_fraction", "SELECT id, round(least(1, greatest(0, #END - start - 5) / greatest(abs(start), 1e-12)), 6) AS fraction FROM $turns")
-both("evidence_strength", "SELECT id, round(0.55 * least(1, (#END - start) / 6) + 0.45 * least(1, length(text) / 8.0), 6) AS strength FROM $turns")
 both("publication_age", "SELECT id, round(ceil(#END / 2) * 2 - #END, 6) AS age FROM $turns")
-both("candidate_permissions", "SELECT id, #END - start >= 1.5 AS profile, #END - start >= 3 AS novelty FROM $turns")
-both("audio_interval_views", """SELECT id, @BIG(greatest(1, least(4, floor((#END - start) / 1.5)))) AS views, round(start + CASE WHEN (#END - start) >= 3 THEN (#END - start) - 1.5 ELSE 0 END, 6) AS last_start FROM $turns""")
-
 # Window schedule and ledger, over the dialog's snapshots
 q("tick_schedule", "SELECT rec, tick_ms, from_ms FROM $windows")
 q("window_membership", "SELECT rec, tick_ms, @BIG(count(*)) AS turns, @BIG(sum(end_ms - start_ms)) AS visible_ms FROM $snapshots GROUP BY rec, tick_ms")
@@ -87,28 +63,20 @@ FIRST = "SELECT rec, turn, label, text, end_ms, min(tick_ms) AS seen_ms FROM $sn
 q("published_ledger", f"SELECT rec, turn, label, end_ms, seen_ms, seen_ms - end_ms AS lag_ms FROM ({FIRST}) f")
 q("published_frontier", f"SELECT rec, seen_ms, max(max(end_ms)) OVER (PARTITION BY rec ORDER BY seen_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS published_until FROM ({FIRST}) f GROUP BY rec, seen_ms")
 q("replay_audit", f"SELECT rec, count(*) = count(DISTINCT turn) AND min(seen_ms - end_ms) >= 0 AS passed, @BIG(count(*)) AS published FROM ({FIRST}) f GROUP BY rec")
-q("label_immutability", "SELECT rec, turn, @BIG(count(DISTINCT label)) AS labels FROM $snapshots GROUP BY rec, turn HAVING count(DISTINCT label) = 1")
-q("append_only_audit", "SELECT rec, turn, @BIG(count(*)) AS drifts FROM (SELECT rec, turn, tick_ms, label, lag(label) OVER (PARTITION BY rec, turn ORDER BY tick_ms) AS was, end_ms, lag(end_ms) OVER (PARTITION BY rec, turn ORDER BY tick_ms) AS ended FROM $snapshots) s WHERE was <> label OR ended > end_ms OR ended < end_ms GROUP BY rec, turn")
 q("latest_per_id", "SELECT rec, turn, tick_ms, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY rec, turn ORDER BY tick_ms DESC) AS r FROM $snapshots) s WHERE r = 1")
-q("wait_ticks", f"SELECT rec, turn, @BIG((seen_ms - min_ms) / 2000) AS ticks FROM (SELECT f.rec, f.turn, f.seen_ms, s.min_ms FROM ({FIRST}) f JOIN (SELECT rec, turn, min(tick_ms) AS min_ms FROM $snapshots GROUP BY rec, turn) s ON f.rec = s.rec AND f.turn = s.turn) w WHERE (seen_ms - min_ms) % 2000 = 0", f"SELECT rec, turn, @BIG((seen_ms - min_ms) // 2000) AS ticks FROM (SELECT f.rec, f.turn, f.seen_ms, s.min_ms FROM ({FIRST}) f JOIN (SELECT rec, turn, min(tick_ms) AS min_ms FROM $snapshots GROUP BY rec, turn) s ON f.rec = s.rec AND f.turn = s.turn) w WHERE (seen_ms - min_ms) % 2000 = 0")
-q("head_of_line_block", "SELECT rec, tick_ms, turn FROM (SELECT *, max(CASE WHEN whole THEN 0 ELSE 1 END) OVER (PARTITION BY rec, tick_ms ORDER BY start_ms, end_ms, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blocked FROM $snapshots) s WHERE blocked = 1")
 q("whole_segment_gate", "SELECT rec, tick_ms, turn FROM $snapshots WHERE end_ms <= tick_ms - 2000")
 q("window_containment", "SELECT @BIG(count(*)) AS violations FROM $snapshots s WHERE start_ms < tick_ms - 60001 OR end_ms > tick_ms + 1")
 q("monotonic_guard", "SELECT @BIG(count(*)) AS violations FROM (SELECT tick_ms, lag(tick_ms) OVER (PARTITION BY rec ORDER BY tick_ms) AS was FROM $windows) w WHERE was >= tick_ms")
-q("empty_grace", "SELECT w.rec, @BIG(count(*)) AS empty_ticks FROM $windows w LEFT JOIN (SELECT DISTINCT rec, tick_ms FROM $snapshots) s ON w.rec = s.rec AND w.tick_ms = s.tick_ms WHERE s.rec IS NULL GROUP BY w.rec")
 q("provisional_tail", f"SELECT s.rec, s.tick_ms, @BIG(count(*)) AS provisional FROM $snapshots s LEFT JOIN ({FIRST}) f ON s.rec = f.rec AND s.turn = f.turn AND f.seen_ms <= s.tick_ms WHERE f.rec IS NULL GROUP BY s.rec, s.tick_ms")
 q("sentence_of_lanes", "SELECT rec, label, @BIG(dense_rank() OVER (PARTITION BY rec ORDER BY s, label)) AS lane FROM (SELECT rec, label, min(start_ms) AS s FROM $dialog GROUP BY rec, label) d")
 q("context_eviction", "SELECT w.rec, w.tick_ms, @BIG(count(*)) AS kept FROM $windows w JOIN $dialog d ON w.rec = d.rec AND d.end_ms > w.from_ms AND d.start_ms < w.tick_ms GROUP BY w.rec, w.tick_ms")
 q("context_lineage", "SELECT s.rec, s.tick_ms, s.label AS local, d.label AS output, @BIG(sum(least(s.end_ms, d.end_ms) - greatest(s.start_ms, d.start_ms))) AS score FROM $snapshots s JOIN $dialog d ON s.rec = d.rec AND s.start_ms < d.end_ms AND d.start_ms < s.end_ms GROUP BY s.rec, s.tick_ms, s.label, d.label")
 q("expired_pending", "SELECT rec, turn, max(tick_ms) AS last_ms FROM $snapshots GROUP BY rec, turn, stop_ms HAVING max(tick_ms) + 4000 < stop_ms")
-q("artifact_multiset_diff", f"SELECT rec, turn FROM $dialog EXCEPT SELECT rec, turn FROM ({FIRST}) f")
-q("run_gates", f"SELECT @BIG(count(*)) AS rows_published, @BIG(count(*) - count(DISTINCT concat(@STR(rec), ':', @STR(turn)))) AS duplicates, max(seen_ms - end_ms) AS worst_lag_ms FROM ({FIRST}) f")
 q("publication_lag", f"SELECT round(@PCT(@DBL(seen_ms - end_ms), 0.5), 6) AS p50, round(@PCT(@DBL(seen_ms - end_ms), 0.95), 6) AS p95 FROM ({FIRST}) f")
-q("drop_reasons", "SELECT reason, @BIG(count(*)) AS n FROM (SELECT CASE WHEN end_ms <= start_ms THEN 'empty' WHEN NOT whole THEN 'cut' ELSE 'kept' END AS reason FROM $snapshots) s GROUP BY reason")
 q("local_partition_pairs", "SELECT l.rec, l.tick_ms, l.turn AS a, r.turn AS b FROM $snapshots l JOIN $snapshots r ON l.rec = r.rec AND l.tick_ms = r.tick_ms AND l.turn < r.turn AND l.label <> r.label")
 
 # Vectors
-U = "SELECT id, label, @UNIT(v, n) AS u FROM (SELECT id, label, v, @NORM(v) AS n FROM $voices) w WHERE n > 0"
+U = "SELECT id, label, u FROM $units"
 q("l2_normalize", f"SELECT id, round(@NORM(u), 6) AS norm, round(@NTH(u, 1), 6) AS first FROM ({U}) x")
 q("cosine_pairs", f"SELECT a.label, a.id AS l_id, b.id AS r_id, round(@DOT(a.u, b.u), 6) AS cosine FROM ({U}) a JOIN ({U}) b ON a.label = b.label AND a.id < b.id")
 E_ = ("SELECT id, label, d, x FROM (" + U + ") y LATERAL VIEW posexplode(u) e AS d, x", "SELECT id, label, unnest(range(len(u))) AS d, unnest(u) AS x FROM (" + U + ") y")
@@ -122,39 +90,14 @@ def dims(name: str, text: str) -> None:
 dims("centroid", "SELECT label, @BIG(d) AS d, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM (SELECT label, d, avg(x) AS m FROM #E e GROUP BY label, d) c")
 RUN = "SELECT id, label, d, x, sum(x) OVER (PARTITION BY label, d ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM #E e"
 dims("running_centroid", f"SELECT id, round(sum(x * s) / sqrt(sum(s * s)), 6) AS cosine FROM ({RUN}) r WHERE s IS NOT NULL GROUP BY id")
-CC = "SELECT e.id, e.label AS own, c.label, sum(e.x * c.m) / sqrt(sum(c.m * c.m)) AS cosine FROM #E e JOIN (SELECT label, d, avg(x) AS m FROM #E f GROUP BY label, d) c ON e.d = c.d GROUP BY e.id, e.label, c.label"
+CC = "SELECT id, own, label, cosine FROM $affinity"
 dims("centroid_cosines", f"SELECT id, label, round(cosine, 6) AS cosine FROM ({CC}) c")
 dims("calibration_pick", f"SELECT id, own, pick FROM (SELECT id, own, label AS pick, round(cosine, 9) AS cosine, max(CASE WHEN label = own THEN round(cosine, 9) END) OVER (PARTITION BY id) AS mine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, label) AS r FROM ({CC}) c) p WHERE r = 1 AND pick <> own AND cosine - mine >= 0.05 AND cosine >= 0.5")
 dims("row_margin", f"SELECT id, best, round(top - next, 6) AS margin FROM (SELECT id, label AS best, cosine AS top, lead(cosine) OVER (PARTITION BY id ORDER BY cosine DESC, label) AS next, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, label) AS r FROM ({CC}) c) m WHERE r = 1")
 dims("column_margin", f"SELECT label, best, round(top - next, 6) AS margin FROM (SELECT label, id AS best, cosine AS top, lead(cosine) OVER (PARTITION BY label ORDER BY cosine DESC, id) AS next, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, id) AS r FROM ({CC}) c) m WHERE r = 1")
 dims("unique_best", f"SELECT id, best FROM (SELECT id, label AS best, cosine AS top, lead(cosine) OVER (PARTITION BY id ORDER BY cosine DESC, label) AS next, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, label) AS r FROM ({CC}) c) m WHERE r = 1 AND (next IS NULL OR top - next > 1e-12)")
-dims("output_uniqueness", f"SELECT id, round(coalesce(own_cos - peer, 0.5), 6) AS uniqueness FROM (SELECT id, max(CASE WHEN label = own THEN cosine END) AS own_cos, max(CASE WHEN label <> own THEN cosine END) AS peer FROM ({CC}) c GROUP BY id) u")
-dims("component_score", f"SELECT id, label, round((cosine - 0.45) / 0.12, 6) AS z, round(1 / (1 + exp(-(cosine - 0.45) / 0.12)), 6) AS inlier FROM ({CC}) c WHERE own = label")
-dims("acceptance_floor", f"SELECT label, round(greatest(0.7, 0.8 * min(cosine)), 6) AS floor_cos FROM ({CC}) c WHERE own = label GROUP BY label")
-dims("component_output_support", f"SELECT own, label, round(max(greatest(0, cosine - 0.45)), 6) AS support FROM ({CC}) c GROUP BY own, label")
-dims("support_totals", f"SELECT own AS g, label AS o, round(sum(greatest(0, cosine)), 5) AS total FROM ({CC}) c GROUP BY own, label")
-dims("challenger_topk", f"SELECT own, label, @BIG(r) AS place FROM (SELECT own, label, row_number() OVER (PARTITION BY own ORDER BY CASE WHEN own = label THEN 0 ELSE 1 END, round(sum(greatest(0, cosine)), 5) DESC, label) AS r FROM ({CC}) c GROUP BY own, label) t WHERE r <= 3")
-dims("eviction_victim", f"SELECT own, label AS victim FROM (SELECT own, label, row_number() OVER (PARTITION BY own ORDER BY round(sum(greatest(0, cosine)), 5), label) AS r FROM ({CC}) c WHERE own <> label GROUP BY own, label) t WHERE r = 1")
-dims("best_assessment", f"SELECT own, id FROM (SELECT own, id, row_number() OVER (PARTITION BY own ORDER BY round(cosine, 9) DESC, id) AS r FROM ({CC}) c WHERE own = label) t WHERE r = 1")
-dims("display_gate", f"SELECT own, label, sum(greatest(0, cosine)) >= 0.775 AS shown, sum(greatest(0, cosine)) >= 1.275 AS switched FROM ({CC}) c GROUP BY own, label HAVING abs(sum(greatest(0, cosine)) - 0.775) > 1e-6 AND abs(sum(greatest(0, cosine)) - 1.275) > 1e-6")
-dims("context_normalized", f"SELECT id, label, round(cosine / max(abs(cosine)) OVER (PARTITION BY id), 6) AS context FROM ({CC}) c")
-dims("event_claims", f"SELECT own AS track, round(min(cosine), 6) AS least_score, min(CASE WHEN label = own THEN 1 ELSE 0 END) = 1 AS all_own, @BIG(count(DISTINCT label)) AS targets FROM ({CC}) c GROUP BY own")
-P = f"SELECT a.label, a.id, b.id AS other, least(1, greatest(-1, @DOT(a.u, b.u))) AS cosine FROM ({U}) a JOIN ({U}) b ON a.label = b.label"
-q("medoid", f"SELECT label, id AS medoid, round(total, 5) AS total_angle FROM (SELECT label, id, total, row_number() OVER (PARTITION BY label ORDER BY round(total, 6), id) AS r FROM (SELECT label, id, sum(CASE WHEN id = other THEN 0 ELSE acos(cosine) END) AS total FROM ({P}) p GROUP BY label, id) t) m WHERE r = 1")
-q("cohesion_floor", f"SELECT label, round(min(best), 6) AS cohesion FROM (SELECT label, id, max(cosine) AS best FROM ({P}) p WHERE id <> other GROUP BY label, id) n GROUP BY label")
-q("trimmed_score", f"SELECT label, id, round(CASE WHEN count(*) >= 3 THEN (sum(cosine) - min(cosine) - max(cosine)) / (count(*) - 2) ELSE avg(cosine) END, 6) AS score FROM ({P}) p WHERE id <> other GROUP BY label, id")
-q("profile_utility", f"SELECT label, round(avg(1 - cosine), 6) AS nonredundancy, round(min(cosine), 6) AS least_cosine FROM ({P}) p WHERE id < other GROUP BY label")
-q("exemplar_utility", f"SELECT label, round(avg(cosine) - avg(acos(cosine)) / pi(), 6) AS utility FROM ({P}) p WHERE id <> other GROUP BY label")
-q("exemplar_subset", f"SELECT label, id AS dropped FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY round(sum(cosine), 6), id) AS r FROM ({P}) p WHERE id <> other GROUP BY label, id) x WHERE r = 1")
-q("max_cross_similarity", f"SELECT a.label AS l, b.label AS r, round(max(@DOT(a.u, b.u)), 6) AS best FROM ({U}) a JOIN ({U}) b ON a.label < b.label GROUP BY a.label, b.label")
+P = "SELECT label, id, other, cosine FROM $angles"
 q("acoustic_best_edge", f"SELECT id, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, other) AS r FROM ({P}) p WHERE id <> other) x WHERE r = 1")
-q("weak_anchors", f"SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS r FROM ({U}) u) a WHERE r <= 2")
-q("lineage_topk", f"SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY round(@NTH(u, 1), 9) DESC, id) AS r FROM ({U}) u) a WHERE r <= 4")
-q("evidence_precision", f"SELECT label, round(1 / (1 + avg(acos(cosine)) / pi()), 6) AS precision_route FROM ({P}) p WHERE id <> other GROUP BY label")
-q("effective_support", "SELECT label, round(sum(least(1, @NORM(v))), 5) AS support FROM $voices GROUP BY label")
-q("state_size", "SELECT label, @BIG(sum(8 * size(v))) AS bytes FROM $voices GROUP BY label", "SELECT label, CAST(sum(8 * len(v)) AS bigint) AS bytes FROM $voices GROUP BY label")
-q("inactive_labels", "SELECT DISTINCT v.label FROM $voices v LEFT JOIN (SELECT label FROM $voices GROUP BY label HAVING count(*) >= 50) m ON v.label = m.label WHERE m.label IS NULL")
-
 # Text
 NORMAL = "@REPLACE(replace(lower(text), 'ß', 'ss'), '[\\\\p{P}\\\\p{S}\\\\s]', '')"
 
@@ -166,29 +109,5 @@ def text(name: str, sql: str) -> None:
 
 text("normalized_text", f"SELECT id, @SHA({NORMAL}) AS norm FROM $texts")
 text("lexical_units", "SELECT id, @BIG(@COUNT_RE(@REPLACE(text, '([一-龥])', ' x '), '[\\\\p{L}\\\\p{N}\\\\p{M}]+')) AS units FROM $texts")
-text("evidence_poor", "SELECT id FROM $texts WHERE @COUNT_RE(text, '[\\\\p{L}\\\\p{N}\\\\p{M}]+') <= 1")
-text("sentence_terminal", "SELECT id, @RLIKE(trim(@REPLACE(text, '[\"”’)]+$', '')), '[.!?。！？]$') AS terminal FROM $texts")
-text("open_ending", "SELECT id, @RLIKE(trim(text), '(…|\\\\.\\\\.\\\\.|,|-)$') AS open_end FROM $texts")
-text("publication_terminal", "SELECT id, @SHA(CASE WHEN @RLIKE(text, '[.!?。！？…]\\\\s*$') THEN text WHEN @RLIKE(text, '[一-龥]') THEN concat(text, '。') ELSE concat(text, '.') END) AS closed FROM $texts")
-text("boundary_merge", "SELECT id, @SHA(concat(@REPLACE(text, '(…|\\\\.\\\\.\\\\.)\\\\s*$', ''), CASE WHEN @RLIKE(text, '[A-Za-z0-9]$') THEN ' ' ELSE '' END, 'and so on')) AS merged FROM $texts")
-text("cjk_prefix", "SELECT id, @RLIKE(text, '^[一-龥]') AS cjk FROM $texts")
-text("marker_only_loop", "SELECT rec, turn, @COUNT_RE(text, '\\\\[S\\\\d+\\\\]') >= 8 AND @REPLACE(text, '\\\\[S\\\\d+\\\\]|\\\\s', '') = '' AS marker_loop FROM $dialog")
-text("canonical_label", "SELECT DISTINCT label, concat('S', lpad(@STR(CAST(substring(label, 2) AS int)), 2, '0')) AS canonical FROM $dialog WHERE @RLIKE(label, '^[SG]\\\\d+$')")
-text("prefix_containment", "SELECT b.item_id, t.id FROM $benchmark b JOIN $texts t ON contains(t.text, b.text)")
-text("srt_export", "SELECT rec, @JOINED(block, turn, '\n') AS srt FROM (SELECT rec, turn, concat(@STR(turn + 1), '\n', @STR(start_ms), ' --> ', @STR(end_ms), '\n[', label, '] ', text, '\n') AS block FROM $dialog) d GROUP BY rec")
-text("json_export", "SELECT rec, max(end_ms) AS duration_ms, @BIG(count(DISTINCT label)) AS speakers, min(label) AS first_speaker FROM $dialog GROUP BY rec")
-text("clock_format", "SELECT rec, turn, concat(lpad(@STR(@BIG(floor(start_ms / 60000.0))), 2, '0'), ':', lpad(@STR(@BIG(floor(start_ms / 1000.0)) % 60), 2, '0')) AS clock FROM $dialog")
-text("download_name", "SELECT page_id, @REPLACE(lower(url), '[^a-z0-9]+', '-') AS name FROM $pages")
 text("binding_key", "SELECT rec, turn, @SHA(concat(@STR(rec), '|', @STR(start_ms), '|', @STR(end_ms), '|', text)) AS binding_key FROM $dialog")
-text("wire_headers", "SELECT event_type, @BIG(count(*)) AS n, @BIG(sum(length(props))) AS bytes FROM $events GROUP BY event_type")
-text("recoverable_errors", "SELECT user_id % 3 AS kind, @BIG(sum(CASE WHEN event_type LIKE 'c%' THEN 1 ELSE 0 END)) AS recoverable FROM $events GROUP BY user_id % 3")
-text("snapshot_dedupe", "SELECT DISTINCT rec, label, start_ms, end_ms FROM $snapshots")
-
-# Selection and sharding
-q("shard_select", "SELECT rec, place FROM (SELECT rec, @BIG(row_number() OVER (ORDER BY rec) - 1) AS place FROM (SELECT DISTINCT rec FROM $dialog) d) s WHERE place % 4 = 1")
-q("prune_sessions", "SELECT rec FROM (SELECT rec, row_number() OVER (ORDER BY rec DESC) AS r FROM (SELECT DISTINCT rec FROM $dialog) d) s WHERE r > 10")
-q("manifest_scan", "SELECT rec, max(end_ms) AS duration_ms, @BIG(count(*)) AS segments FROM $dialog GROUP BY rec")
-q("orders_rollup", "SELECT o_orderpriority, @BIG(count(*)) AS n, round(sum(o_totalprice), 2) AS total FROM $orders GROUP BY o_orderpriority")
-q("owner_lookup", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM $orders) o WHERE r = 1")
-q("set_changes", "SELECT o_custkey FROM $orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM $orders WHERE o_orderstatus = 'F'")
-q("evidence_ledger", "SELECT l_orderkey AS source_key, @BIG(max(l_linenumber)) AS revision, @BIG(count(*)) AS records FROM $lineitem GROUP BY l_orderkey")
+# Selection and sharding
\ No newline at end of file

@@ -2,7 +2,8 @@
 
 turns (rec, id, start, end, speaker, text): rec is the calendar day, times are seconds from its start. dialog: conversations with times from
 cumulative text length in whole milliseconds. snapshots: what a window of 60 s, moved on by 2 s, shows of the dialog, clipped to it.
-voices (id, label, v). texts (id, text)."""
+voices (id, label, v). texts (id, text). revised: snapshots with the noise of a decoder. published: the ledger. units, centroids, affinity,
+weighed, exemplars and angles: unit vectors, their labels' centres, evidence, and profiles of five vectors a label."""
 
 from __future__ import annotations
 
@@ -35,6 +36,28 @@ _COMMON = {
     "snapshots": """SELECT w.rec, w.tick_ms, w.stop_ms, d.turn, d.label, greatest(d.start_ms, w.from_ms) AS start_ms, least(d.end_ms, w.tick_ms) AS end_ms, d.end_ms <= w.tick_ms AS whole, d.text
  FROM $windows w JOIN $dialog d ON w.rec = d.rec AND d.start_ms < w.tick_ms AND d.end_ms > w.from_ms""",
 }
+# What a rolling decoder shows: in every fifth tick it numbers the first two voices the other way round, and a turn's text is cut with it.
+_COMMON["revised"] = f"""SELECT w.rec, w.tick_ms, w.stop_ms, w.from_ms, d.turn, d.label,
+ CASE WHEN (d.rec + @DIV(w.tick_ms, {STEP_MS})) % 5 = 0 AND d.label = 'S01' THEN 'S02' WHEN (d.rec + @DIV(w.tick_ms, {STEP_MS})) % 5 = 0 AND d.label = 'S02' THEN 'S01' ELSE d.label END AS local,
+ greatest(d.start_ms, w.from_ms) AS start_ms, least(d.end_ms, w.tick_ms) AS end_ms, d.end_ms <= w.tick_ms AS whole,
+ substring(d.text, CAST(1 + @DIV(greatest(0, w.from_ms - d.start_ms), {CHAR_MS}) AS int), CAST(@DIV(least(d.end_ms, w.tick_ms) - greatest(d.start_ms, w.from_ms), {CHAR_MS}) AS int)) AS text
+ FROM $windows w JOIN $dialog d ON w.rec = d.rec AND d.start_ms < w.tick_ms AND d.end_ms > w.from_ms"""
+# A turn is released at the first tick that shows it whole and behind the frontier; seq is the order of release.
+_COMMON["published"] = f"""SELECT *, row_number() OVER (PARTITION BY rec ORDER BY seen_ms, start_ms, turn) AS seq FROM (
+ SELECT rec, turn, label, text, min(start_ms) AS start_ms, end_ms, min(tick_ms) AS seen_ms FROM $snapshots WHERE whole AND (end_ms <= tick_ms - {RIGHT_MS} OR tick_ms = stop_ms) GROUP BY rec, turn, label, text, end_ms) f"""
+_COMMON["units"] = "SELECT id, label, @UNIT(v, n) AS u FROM (SELECT id, label, v, @NORM(v) AS n FROM $voices) w WHERE n > 0"
+_COMMON["centroids"] = "SELECT label, n, @UNIT(m, @NORM(m)) AS c FROM (SELECT label, max(n) AS n, @VECTOR(d, x) AS m FROM (SELECT label, d, avg(x) AS x, count(*) AS n FROM $parts GROUP BY label, d) a GROUP BY label) b"
+_COMMON["affinity"] = "SELECT e.id, e.label AS own, c.label, @DOT(e.u, c.c) AS cosine FROM $units e JOIN $centroids c ON @SIZE(e.u) = @SIZE(c.c)"
+# Evidence of a vector: how clean it is, seconds that it covers, angle by which its views differ, and the weight it has for its own label.
+_COMMON["evidence"] = """SELECT u.id, u.label, u.u, CASE WHEN u.id % 7 = 0 THEN 0.8 ELSE 1.0 END * 1.0E0 AS purity, (1 + u.id % 4) * 0.75E0 AS coverage, (u.id % 5) * 0.1E0 AS instability,
+ 1 / (1 + exp(-(a.cosine - 0.45) / 0.12)) AS inlier FROM $units u JOIN $affinity a ON u.id = a.id AND a.own = a.label"""
+_COMMON["weighed"] = "SELECT *, purity * least(1, coverage / 1.5) / (1 + instability / pi()) AS precision_route, purity * least(1, coverage / 1.5) / (1 + instability / pi()) * inlier AS weight FROM $evidence"
+# A profile: the five heaviest vectors of a label.
+_COMMON["exemplars"] = "SELECT id, label, u, weight, coverage, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(weight, 9) DESC, id) AS place FROM $weighed) w WHERE place <= 5"
+_COMMON["angles"] = """SELECT a.label, a.id, b.id AS other, greatest(-1, least(1, @DOT(a.u, b.u))) AS cosine, CASE WHEN a.id = b.id THEN 0 ELSE acos(greatest(-1, least(1, @DOT(a.u, b.u)))) END AS angle
+ FROM $exemplars a JOIN $exemplars b ON a.label = b.label"""
+SPARK["parts"] = "SELECT id, label, d, x FROM $units LATERAL VIEW posexplode(u) e AS d, x"
+DUCK["parts"] = "SELECT id, label, unnest(range(len(u))) AS d, unnest(u) AS x FROM $units"
 SPARK |= _COMMON
 DUCK |= _COMMON
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
