@@ -6,12 +6,13 @@ size. Larger sets (heavy), and light ones that a heavy one may match, meet by sc
 partner must touch. The boundary is the cheapest by the corpus's own histogram of sizes.
 
 Frequent shingles go last in the order of every set, so the lists that are scanned are of rare ones; the order is a heuristic and changes
-no result. Identical sets are one class from the start. In each list every member is first compared with the list's leader of about its
+no result. Identical sets (by a 128-bit digest) are one class from the start. In each list every member is first compared with the list's leader of about its
 size; the components this gives make all but a few comparisons superfluous, and a second scan compares whatever lies in different
 components yet shares a list. Hence no group of copies is expanded into its pairs, and yet no link between components is lost."""
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -25,13 +26,14 @@ from pyspark.sql.window import Window
 from ..session import table
 from . import words
 from .shared import components, drop, release, stored
+from .splits import summed
 
 K = 5
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be broadcast; more are joined by a shuffle
 HOT_SHINGLES = 1 << 18  # shingles that are ordered by their counts; the others by their hash
 LIGHT_MOST = 12
 BITS = 4096
-COUNTED = 1_000_000  # shingles of a task that are counted together in search of frequent ones
+COUNTED = 1_000_000  # shingles of a task that are counted together in search of frequent ones; as many frequent ones are held
 
 
 def need(s: int, t: int) -> int:
@@ -60,13 +62,20 @@ def choose_boundary(histogram: dict[int, int]) -> int:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's size and class; per task the shingles that are frequent in it."""
+    """Per document its set's size and class (128 bits); per task the shingles that are frequent in it, by lossy counting: of every COUNTED
+    shingles those that are repeated go on."""
     waiting, held = [], 0
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    names = ["doc_id", "n", "cls", "more", "hot"]
 
-    def frequent() -> pa.RecordBatch:
+    def merged() -> tuple[np.ndarray, np.ndarray]:
         u, c = np.unique(np.concatenate(waiting), return_counts=True)
-        u, c = u[c > 2], c[c > 2].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(c), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64))], names=["doc_id", "n", "cls", "hot"])
+        return summed(np.concatenate((keys, u[c > 1])), np.concatenate((counts, c[c > 1])))
+
+    def frequent() -> pa.RecordBatch:
+        u, c = keys[counts > 2], counts[counts > 2]
+        none = pa.nulls(len(u), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(c), none, none, pa.array(u.view(np.int64))], names=names)
 
     for batch in batches:
         ids = batch.column(0)
@@ -74,23 +83,22 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = words.Words(norm)
             doc, _, h = w.shingles(K)
             flat, off = words.per_doc_unique(doc, h, len(norm))
-            n = np.diff(off)
-            pos = np.arange(len(flat), dtype=np.uint64) - np.repeat(off[:-1], n).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                part = words.mix(flat * np.uint64(0x2545F4914F6CDD1D) + pos)
-            cls = np.zeros(len(norm), np.uint64)
-            if len(flat):
-                cls[n > 0] = np.add.reduceat(part, off[:-1][n > 0])
+            cls = np.zeros((len(norm), 2), np.int64)
+            raw = flat.tobytes()
+            for i in np.flatnonzero(np.diff(off)).tolist():
+                cls[i] = np.frombuffer(hashlib.blake2b(raw[8 * off[i] : 8 * off[i + 1]], digest_size=16).digest(), np.int64)
             waiting.append(flat)
             held += len(flat)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, len(norm)), pa.array(n), pa.array(cls.view(np.int64)), pa.nulls(len(norm), pa.int64())],
-                names=["doc_id", "n", "cls", "hot"],
-            )
+            yield pa.RecordBatch.from_arrays([ids.slice(start, len(norm)), pa.array(np.diff(off)), pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.nulls(len(norm), pa.int64())], names=names)
             if held >= COUNTED:
-                yield frequent()
+                keys, counts = merged()
                 waiting, held = [], 0
+                if len(keys) > COUNTED:
+                    yield frequent()
+                    keys, counts = keys[:0], counts[:0]
     if held:
+        keys, counts = merged()
+    if len(keys):
         yield frequent()
 
 
@@ -203,9 +211,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     node that holds the sets of all of them. Other columns are not read. An empty table gives an empty result."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen, _ = stored(docs.mapInArrow(_profile, "doc_id long, n long, cls long, hot long"), "jaccard-profile")
+    seen, _ = stored(docs.mapInArrow(_profile, "doc_id long, n long, cls long, more long, hot long"), "jaccard-profile")
     mine = seen.where("hot is null")
-    reps, reps_at = stored(mine.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    reps, reps_at = stored(mine.where("n > 0 and doc_id is not null").groupBy("cls", "more", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     hot = seen.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_SHINGLES).toPandas()
     keys, rank = hot["hot"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)
     order = np.argsort(keys)
@@ -255,7 +263,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         drop(spark, comp_at)
     drop(spark, links_at)
     drop(spark, more_at)
-    node = mine.join(reps.withColumnRenamed("cls", "k").withColumnRenamed("n", "m"), F.expr("cls = k and n = m"), "left")
+    node = mine.join(reps.toDF("k", "k2", "m", "rep"), F.expr("cls = k and more = k2 and n = m"), "left")
     node = node.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     out = node.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
