@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, St
 from pyspark.sql.window import Window
 
 from ..functions import turns as T
+from ..functions.alignment import align
 from ..functions.matching import assign
+from ..identity.evidence import Candidate, VoiceProfile
 from ..plans import catalog
-from ..session import table
-from ..streaming import binding, replay
+from ..streaming import binding, ledger, replay
 
 # Types, not texts: a text is parsed by a running Spark, which an import may not need.
 TURNS = ArrayType(StructType([StructField("start", DoubleType()), StructField("end", DoubleType()), StructField("speaker", StringType()), StructField("text", StringType())]))
@@ -33,6 +35,11 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([T._similar(T.normal(x or ""), T.normal(y or "")) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(BooleanType())
+def akin(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([T.related(T.Turn(0, 0, "", x or ""), T.Turn(0, 0, "", y or "")) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
 @F.pandas_udf(BooleanType())
 def repeats(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: T.repeats(t or ""))
@@ -68,11 +75,13 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each turn to the turn before it, and whether they are related."""
     w = Window.partitionBy("rec").orderBy("turn")
     d = _view(spark, sf_dir, "dialog").withColumn("before", F.lag("text").over(w)).where("before is not null")
-    return d.select("rec", "turn", F.round(similar("before", "text"), 6).alias("similarity")).withColumn("related", F.col("similarity") >= T.RELATED)
+    return d.select("rec", "turn", F.round(similar("before", "text"), 6).alias("similarity"), akin("before", "text").alias("related"))
 
 
 def repetition_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "texts").where(repeats("text")).select("id")
+    """Texts that end in a runaway loop; every fourth one is given such an end."""
+    t = _view(spark, sf_dir, "texts").withColumn("text", F.when(F.col("id") % 4 == 0, F.concat("text", F.repeat(F.lit("ha "), (F.col("id") % 16).cast("int")))).otherwise(F.col("text")))
+    return t.where(repeats("text")).select("id")
 
 
 def marker_text_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +116,83 @@ def revision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.revision_ledger(_view(spark, sf_dir, "dialog"))
 
 
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialog's turns with a voice each: a vector of the class that stands for the recording's label, so that one label sounds alike."""
+    w = Window.partitionBy("label").orderBy("id")
+    voices = _view(spark, sf_dir, "voices").withColumn("place", F.row_number().over(w) - 1).select(F.col("label").cast("long").alias("class"), "place", "v")
+    per = voices.groupBy("class").agg(F.count(F.lit(1)).alias("n"))  # one row a class
+    d = _view(spark, sf_dir, "dialog").withColumn("class", F.pmod(F.col("rec") * 3 + F.substring("label", 2, 2).cast("long"), F.lit(10)))
+    d = d.join(F.broadcast(per), "class", "left").withColumn("place", F.pmod(F.xxhash64("rec", "turn"), F.col("n")).cast("int"))
+    turns = d.join(voices, ["class", "place"], "left")
+    seconds = [(F.col(f"{c}_ms") / 1000).alias(c) for c in ("start", "end")]
+    return turns.select("rec", F.ceil(F.col("end_ms") / 2000).alias("tick"), F.col("turn").cast("long").alias("turn"), *seconds, F.col("label").alias("local"), F.col("v").alias("voice"), "text")
+
+
 def speaker_binding_fixed_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lasting labels of the dialog's turns. A turn's voice is the vector numbered 4 rec + turn; a turn without one has none."""
-    turns = _view(spark, sf_dir, "dialog").alias("d").join(_view(spark, sf_dir, "voices").alias("v"), F.expr("v.id = d.rec * 4 + d.turn"), "left")
-    tick = F.ceil(F.col("end_ms") / 2000)
-    return binding.bind(turns.select("rec", tick.alias("tick"), F.col("turn").cast("long").alias("turn"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("d.label").alias("local"), F.col("v").alias("voice")))
+    """Lasting labels of the dialog's turns by thresholds."""
+    return binding.bind(_heard(spark, sf_dir))
+
+
+def speaker_binding_lego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lasting labels of the dialog's turns by the identity model."""
+    return binding.bind(_heard(spark, sf_dir), "lego")
+
+
+def _deduped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        out = []
+        for rec, tick, turns in zip(p["rec"], p["tick_ms"], p["turns"], strict=True):
+            kept = ledger.distinct([T.Turn(t["s"] / 1000, t["e"] / 1000, t["local"], t["text"] or "") for t in turns], ledger.Rules())
+            out += [(rec, tick, round(t.start * 1000), round(t.end * 1000), t.speaker) for t in kept]
+        yield pd.DataFrame(out, columns=["rec", "tick_ms", "start_ms", "end_ms", "local"]).astype({"rec": "int64", "tick_ms": "int64", "start_ms": "int64", "end_ms": "int64"})
+
+
+def snapshot_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each snapshot without repeated segmentations of one utterance; every third turn is shown twice, the second time cut by a tenth."""
+    r = _view(spark, sf_dir, "revised").select("rec", "tick_ms", "turn", "local", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "text")
+    again = r.where("turn % 3 = 0 and e - s >= 10").withColumn("e", F.col("e") - F.floor((F.col("e") - F.col("s")) / 10)).withColumn("text", F.expr("substring(text, 1, cast(length(text) * 0.9 as int))"))
+    shots = r.union(again).groupBy("rec", "tick_ms").agg(F.collect_list(F.struct("local", "s", "e", "text")).alias("turns"))  # one window's turns
+    return shots.mapInPandas(_deduped, "rec long, tick_ms long, start_ms long, end_ms long, local string")
+
+
+def _aligned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["rec", "tick_ms", "local", "best", "score", "row_margin", "column_margin", "selected"]
+    for p in parts:
+        out = []
+        for rec, tick, now, then in zip(p["rec"], p["tick_ms"], p["now"], p["then"], strict=True):
+            sides = [[T.Turn(t["s"] / 1000, t["e"] / 1000, t["who"], t["text"] or "") for t in side] for side in (now, then)]
+            out += [(rec, tick, local, a.best, max(a.scores.values()), a.row_margin, a.column_margin, a.selected) for local, a in align(*sides).items()]
+        yield pd.DataFrame(out, columns=names).astype({"rec": "int64", "tick_ms": "int64", "score": "float64", "row_margin": "float64", "column_margin": "float64"})
+
+
+def snapshot_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each snapshot's labels aligned one to one with the speakers published before its tick, with margins and uniqueness."""
+    turn = lambda who: F.collect_list(F.struct(F.col(who).alias("who"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "text"))
+    now = _view(spark, sf_dir, "revised").groupBy("rec", "tick_ms", "from_ms").agg(turn("local").alias("now"))
+    p = _view(spark, sf_dir, "published").select(F.col("rec").alias("r"), "label", "start_ms", "end_ms", "seen_ms", "text")
+    then = now.select("rec", "tick_ms", "from_ms").join(p, F.expr("rec = r and seen_ms < tick_ms and end_ms > from_ms")).groupBy("rec", "tick_ms").agg(turn("label").alias("then"))
+    return now.join(then, ["rec", "tick_ms"]).mapInPandas(_aligned, "rec long, tick_ms long, local string, best string, score double, row_margin double, column_margin double, selected string")
+
+
+def _profiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        out = []
+        for label, items in zip(p["label"], p["items"], strict=True):
+            profile = VoiceProfile(most=4)
+            profile.derive([Candidate(f"{c['id']:08d}", np.array(c["u"]), float(c["id"] % 3), float(c["coverage"]), purity=float(c["purity"])) for c in items])
+            out.append((label, profile.state, list(profile.active), len(profile.quarantine)))
+        yield pd.DataFrame(out, columns=["label", "state", "active", "quarantined"]).astype({"quarantined": "int64"})
+
+
+def voice_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label the profile that its twelve heaviest vectors make: complete-linkage clusters, greedy choice, state."""
+    w = Window.partitionBy("label").orderBy(F.desc(F.round("weight", 9)), "id")
+    top = _view(spark, sf_dir, "weighed").withColumn("place", F.row_number().over(w)).where("place <= 12")
+    items = top.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("id", "u", "coverage", "purity"))).alias("items"))
+    return items.mapInPandas(_profiled, "label int, state string, active array<string>, quarantined long")
 
 
-_ALL = (parse_transcript, parser_agreement, text_similarity, repetition_loop, marker_text_loop, assignment, revision_ledger, speaker_binding_fixed_cosine)
+_ALL = (parse_transcript, parser_agreement, text_similarity, repetition_loop, marker_text_loop, assignment, snapshot_duplicates, snapshot_alignment, voice_clusters, revision_ledger, speaker_binding_fixed_cosine, speaker_binding_lego)
 QUERIES = {f.__name__: f for f in _ALL}
 #: The grammar read back what was rendered: the dialog itself, without turns whose text is blank.
 ORACLE = {"parse_transcript": "SELECT rec, turn, CAST(0 AS integer) AS place, start_ms, end_ms, label AS speaker, sha256(trim(text)) AS text_sha FROM $dialog WHERE trim(text) <> ''"}

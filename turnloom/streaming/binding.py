@@ -1,11 +1,12 @@
-"""Speaker binding by fixed cosine thresholds: local labels of turns become lasting labels of a recording.
+"""Speaker binding: local labels of turns become lasting labels of a recording, by fixed cosine thresholds or by the identity model.
 
-Per tick the new turns are matched one to one with the recording's tracks. A turn keeps the track of its local label unless its voice
+By thresholds, per tick the new turns are matched one to one with the recording's tracks. A turn keeps the track of its local label unless its voice
 contradicts it, and joins another label's track only if the voices are nearly equal; whatever matches none begins a track. Labels are given
 once and never rewritten."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -13,13 +14,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.alignment import align, lineage
 from ..functions.matching import assign
+from ..functions.turns import Turn
 from ..functions.voices import unit
+from ..identity.evidence import NATIVE, Evidence, assess, bridge
+from ..identity.model import IdentityModel, Observation, Settings
 
 # Fixed values of the policy.
 SAME, PLAIN, OTHER = 0.30, 0.70, 0.90
 CORE_SECONDS, CORE_QUALITY, OVERLAP, CORES, SPANS = 1.5, 0.25, 0.10, 120, 256
+CONTEXT = 60.0  # seconds of published turns that labels are aligned with
 
 
 class Heard(NamedTuple):
@@ -29,6 +36,7 @@ class Heard(NamedTuple):
     local: str
     voice: np.ndarray | None
     quality: float = 1.0
+    text: str | None = None
 
 
 @dataclass
@@ -91,33 +99,107 @@ class Binder:
         return out
 
 
-def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rec, tick, binder, waiting = None, None, Binder(), []
-    rows: list[tuple] = []
+def quality(h: Heard, heard: list[Heard]) -> float:
+    """1 less the greatest share of a turn that one turn under another label covers; 0 for a turn without duration."""
+    if h.end <= h.start:
+        return 0.0
+    return max(0.0, 1 - max((max(0.0, min(h.end, o.end) - max(h.start, o.start)) / max(1e-6, h.end - h.start) for o in heard if o is not h and o.local != h.local), default=0.0))
 
-    def flush() -> None:
-        rows.extend((rec, k, label) for k, label in sorted(binder.take(waiting).items()))
-        waiting.clear()
 
-    def batch() -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["rec", "turn", "speaker"])
+class ModelBinder:
+    """Labels by the identity model. Every tick each local label is one observation; a turn's label is never rewritten."""
 
-    for b in batches:
-        for r, t, key, start, end, local, voice in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if (r, t) != (rec, tick):
-                flush()
-                binder = binder if r == rec else Binder()
-                rec, tick = r, t
-            waiting.append(Heard(key, start, end, local or "UNK", unit(voice)))
+    def __init__(self, settings: Settings | None = None):
+        self.model, self.made, self.tick, self.published = IdentityModel(settings), 0, 0, {}
+
+    def _evidence(self, hs: list[Heard], heard: list[Heard], context: dict[str, float]) -> Evidence:
+        """The best evidence of a local label's turns; what others talk over is none."""
+        out = []
+        for h in hs:
+            q = quality(h, heard)
+            short = h.end - h.start < NATIVE
+            views, spans = ([h.voice], [(h.start, h.end if short else h.start + NATIVE)]) if h.voice is not None else ([], [])
+            out.append(assess(str(h.key), views, spans, text=h.text, purity=q, context=context, padded=short, mixed=q < 1 - 1e-9))
+        return min(out, key=lambda e: (-e.route, -e.profile, -e.novelty, e.key))
+
+    def take(self, heard: list[Heard]) -> dict[int, str]:
+        self.tick += 1
+        parts: dict[str, list[Heard]] = {}
+        for h in sorted(heard, key=lambda h: (h.start, h.end, h.key)):
+            parts.setdefault(h.local, []).append(h)
+        if not parts:
+            return {}
+        now = [Turn(h.start, h.end, h.local, h.text or "") for h in heard]
+        low = min(h.start for h in heard) - CONTEXT
+        self.published = {k: t for k, t in self.published.items() if t.end > low}
+        aligned = align(now, list(self.published.values()))
+        names = {local: f"{self.tick:08d}:{local}" for local in parts}
+        seen = []
+        for local, hs in sorted(parts.items()):
+            a = aligned.get(local)
+            e = self._evidence(hs, heard, a.scores if a else {})
+            root = lineage(local, a.best, now, self.published) if a and a.best else None
+            link = bridge(a.best, a.scores, (a.row_margin, a.column_margin), (a.row_unique, a.column_unique), a.selected == a.best, root, e) if a else None
+            barred = frozenset(x.selected for other, x in aligned.items() if other != local and x.selected)
+            seen.append(Observation(names[local], e, (link,) if link else (), barred))
+        apart = list(itertools.combinations(sorted(names.values()), 2))
+        plan = self.model.infer(seen, apart)
+        labels = {}
+        for d in plan.decisions:
+            if d.label is None:
+                self.made += 1
+                labels[d.key] = f"S{self.made:02d}"
+        self.model.commit(plan, labels)
+        chosen = {d.key: d.label or labels[d.key] for d in plan.decisions}
+        evidence = {o.key: o.evidence for o in seen}
+        for key, label in labels.items():
+            self.model.add_label(label, evidence[key])
+        out = {}
+        for local, hs in parts.items():
+            for h in hs:
+                out[h.key] = chosen[names[local]]
+                self.published[str(h.key)] = Turn(h.start, h.end, out[h.key], h.text or "")
+        return out
+
+
+POLICIES = {"fixed-cosine": Binder, "lego": ModelBinder}
+
+
+def _bind(policy: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = POLICIES[policy]
+        rec, tick, binder, waiting = None, None, make(), []
+        rows: list[tuple] = []
+
+        def flush() -> None:
+            rows.extend((rec, k, label) for k, label in sorted(binder.take(waiting).items()))
+            waiting.clear()
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["rec", "turn", "speaker"])
+
+        for b in batches:
+            for r, t, key, start, end, local, voice, text in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if (r, t) != (rec, tick):
+                    flush()
+                    binder = binder if r == rec else make()
+                    rec, tick = r, t
+                waiting.append(Heard(key, start, end, local or "UNK", unit(voice), text=text))
+            yield batch()
+        flush()
         yield batch()
-    flush()
-    yield batch()
+
+    return run
 
 
-def bind(turns: DataFrame) -> DataFrame:
-    """rec, turn, speaker of turns (rec, tick, turn, start, end, local, voice). A recording is a sequence: one task reads it in order and holds
-    its tracks only. Rows without rec, tick or turn are left out; a null, zero or non-finite voice is no evidence."""
-    rows = turns.where("rec is not null and tick is not null and turn is not null").select("rec", "tick", "turn", "start", "end", "local", "voice")
-    return rows.repartition("rec").sortWithinPartitions("rec", "tick", "turn").mapInArrow(_bind, "rec long, turn long, speaker string")
+def bind(turns: DataFrame, policy: str = "fixed-cosine") -> DataFrame:
+    """rec, turn, speaker of turns (rec, tick, turn, start, end, local, voice, and text if there is one). A recording is a sequence: one task
+    reads it in order and holds its tracks, or its identity model, only. Rows without rec, tick or turn are left out; a null, zero or
+    non-finite voice is no evidence."""
+    if policy not in POLICIES:
+        raise ValueError(f"no policy {policy!r}")
+    text = F.col("text").cast("string") if "text" in turns.columns else F.lit(None).cast("string")
+    rows = turns.where("rec is not null and tick is not null and turn is not null").select("rec", "tick", "turn", "start", "end", "local", "voice", text.alias("text"))
+    return rows.repartition("rec").sortWithinPartitions("rec", "tick", "turn").mapInArrow(_bind(policy), "rec long, turn long, speaker string")
