@@ -45,6 +45,58 @@ def profile_score(views: Iterable[np.ndarray], prototype: np.ndarray, exemplars:
     return float(np.mean(each[1:-1] if len(each) >= 3 else each))
 
 
+class Views:
+    """Views and vectors of turns by an extractor, each asked for once. What was said after the cutoff is never heard.
+
+    extract(spans) gives a vector a span: by a model, or from a table of vectors."""
+
+    def __init__(self, extract, native: float = 1.5):
+        self.extract, self.native, self.known, self.calls = extract, native, {}, 0
+
+    def _heard(self, spans: tuple) -> list[np.ndarray] | None:
+        if spans not in self.known:
+            self.calls += len(spans)
+            got = [unit(v) for v in self.extract(list(spans))]
+            self.known[spans] = got if len(got) == len(spans) and all(v is not None for v in got) else None
+        return self.known[spans]
+
+    def _check(self, end: float, cutoff: float) -> None:
+        if not 0 <= cutoff < float("inf") or end > cutoff + 1e-9:
+            raise ValueError("the turn ends after what may be heard")
+
+    def views(self, start: float, end: float, cutoff: float) -> tuple[list[np.ndarray], list[tuple[float, float]], bool] | None:
+        """(vectors, spans, padded) of up to four views of a turn; None if one of them can't be had."""
+        self._check(end, cutoff)
+        spans = tuple((round(s, 6), round(min(end, s + self.native), 6)) for s in view_starts(start, end, self.native))
+        got = self._heard(spans)
+        return None if got is None else (got, list(spans), end - start + 1e-9 < self.native)
+
+    def whole(self, start: float, end: float, cutoff: float) -> np.ndarray | None:
+        """The vector of a whole turn."""
+        self._check(end, cutoff)
+        got = self._heard(((round(start, 6), round(end, 6)),))
+        return got[0] if got else None
+
+
+class Calibrator:
+    """Reviews labels as turns are published: a rival label whose voice, so far, is nearer by `gain` and near enough takes the turn. The voice
+    counts for the label it was first given, so that an early mistake does not feed on itself."""
+
+    def __init__(self, gain: float = 0.05, cosine: float = 0.50, seconds: float = 1.5):
+        self.gain, self.cosine, self.seconds = gain, cosine, seconds
+        self.sums: dict[str, np.ndarray] = {}
+
+    def review(self, label: str, voice, seconds: float) -> str:
+        v = unit(voice)
+        if v is None or seconds < self.seconds:
+            return label
+        near = {k: float(v @ s / n) for k, s in self.sums.items() if (n := np.linalg.norm(s)) > 0}
+        best = min(near, key=lambda k: (-near[k], k), default=label)
+        moved = len(near) >= 2 and label in near and best != label and near[best] - near[label] >= self.gain and near[best] >= self.cosine
+        self.sums[label] = self.sums.get(label, 0.0) + v
+        return best if moved else label
+
+
 def constrained(candidates: Mapping[Hashable, Mapping[str, float]], apart: Iterable[tuple]) -> dict:
     """One candidate a row, of greatest total, where rows that are `apart` differ. Of equal totals (to 1e-12) the first by rows, then names.
 

@@ -5,7 +5,7 @@ snapshots agree on it and later speech (or its sole, repeated, closed text, or c
 published turn already says it. One unresolved turn holds back all later ones. State is plain data (`dump`, `load`), and bounded: published
 turns that no rule can reach any more are forgotten.
 
-Not covered: one-character restarts, suffixes from the words of the last 30 s, and best-effort deadlines (off by default)."""
+A hypothesis that the decoder stopped showing may be released after a deadline (off by default)."""
 
 from __future__ import annotations
 
@@ -30,6 +30,7 @@ class Rules:
     overlap_share: float = 0.15
     grace: int = 1
     reach: float = 30.0  # seconds of published text that a repeated prefix is looked for in
+    deadline: float | None = None  # seconds from its first tick after which an absent hypothesis is released
 
     @property
     def patience(self) -> float:
@@ -151,7 +152,7 @@ class Ledger:
             if h.key in absent and not final and not silence and self.tick - h.last > self.rules.patience + EPS:
                 self._drop("expired")
                 continue
-            ripe = final or silence or h.turn.tick is None or (h.agreed >= 2 and (succeeded(h.turn, now) or self._closed(h, now)))
+            ripe = final or silence or h.turn.tick is None or (h.agreed >= 2 and (succeeded(h.turn, now) or self._closed(h, now))) or self._due(h)
             if blocked or not ripe:
                 blocked = blocked or h.turn.end > until + 0.25
                 left.append(h)
@@ -164,7 +165,11 @@ class Ledger:
                 left.append(h)
                 blocked = turn.end > until + 0.25
             else:
-                turn = self._unsaid(closed(turn), out)
+                turn = restarted(closed(turn), out)
+                if turn is None:
+                    self._drop("said already")
+                    continue
+                turn = self._unsaid(turn, out)
                 delayed = len(h.seen) >= 2 and h.first < self.tick - EPS
                 why = self._refused(turn, h.turn, now, out, trimmed, delayed)
                 if why:
@@ -177,6 +182,23 @@ class Ledger:
     def _closed(self, h: Hypothesis, now: list[Turn]) -> bool:
         return h.still >= 2 and len(now) == 1 and now[0] == h.turn and h.turn.end <= self.stable + EPS and terminal(h.turn.text)
 
+    def _due(self, h: Hypothesis) -> bool:
+        """Whether a hypothesis has waited long enough: shown twice, behind the frontier, and no longer shown."""
+        waits = self.rules.deadline
+        return waits is not None and len(h.seen) >= 2 and h.turn.end <= self.stable + EPS and h.last < self.tick - EPS and self.tick - h.first >= waits - EPS
+
+    def _after_recent(self, t: Turn) -> str | None:
+        """What of t the words of the last seconds do not say, if they end as t begins; '' if all of it; None if they do not."""
+        recent = sorted((p for p in self.published if p.end >= t.start - self.rules.reach and p.start <= t.end + 0.75), key=lambda p: (p.start, p.end, p.speaker, p.text))
+        said, mine = normal("".join(p.text for p in recent)), t.norm
+        if len(mine) < 8 or not said:
+            return None
+        n = overlap(said, mine, max(8, -(-35 * len(mine) // 100)))
+        last = max(recent, key=lambda p: (p.end, p.start))
+        if not n and last.speaker == t.speaker and t.start <= last.end + 0.75 and t.end > last.end + EPS:
+            n = next((k for k in range(min(len(mine) - 4, len(said), 7), 1, -1) if said.endswith(mine[:k])), 0)
+        return None if not n else t.text[cut_at(t.text, n) :].lstrip() if n < len(mine) else ""
+
     def _refused(self, turn: Turn, whole: Turn, now: list[Turn], out: list[Turn], trimmed: bool, delayed: bool) -> str | None:
         if stable_id(turn) in self.ids:
             return "same id"
@@ -208,7 +230,8 @@ class Ledger:
         if prefixes:
             best = max(prefixes, key=lambda p: (len(p.norm), p.end, p.seconds))
             ref = best if best.end >= covered - self.rules.overlap_seconds - EPS else ref
-        rest = beyond(t.text, ref.text)
+        recent = self._after_recent(t)
+        rest = beyond(t.text, ref.text) if recent is None else recent
         tail = normal(rest)
         jitter = t.end - covered <= self.rules.overlap_seconds + EPS and (ref.norm.endswith(tail) or len(tail) <= 2)
         if not rest.strip() or jitter:
@@ -336,7 +359,7 @@ def grows(t: Turn, p: Turn) -> bool:
     if not x or len(x) > 6 or len(y) <= len(x) + 2 or abs(t.start - p.start) > 0.35 or p.end > t.end + 0.35 or common(t, p) <= 0:
         return False
     n = next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), len(x))
-    return n >= max(2, len(x) - 1) or (n >= 2 and SequenceMatcher(None, x, y[: len(x)], autojunk=False).ratio() >= 0.7)
+    return n >= max(2, len(x) - 1) or (n >= 2 and SequenceMatcher(None, x, y[: len(x) + 2], autojunk=False).ratio() >= 0.7)
 
 
 def connected(t: Turn, p: Turn, rules: Rules) -> bool:
@@ -383,15 +406,32 @@ def beyond(text: str, known: str) -> str:
     return text[cut_at(text, n) :].lstrip() if n < len(x) else ""
 
 
+def restarted(t: Turn, out: list[Turn]) -> Turn | None:
+    """t without a first character that the same speaker's one-character turn just said (Chinese, Japanese, Korean only); None if no more is left."""
+    last = max(out, key=lambda p: (p.end, p.start), default=None)
+    if last is None or last.speaker != t.speaker or len(last.norm) != 1 or len(t.norm) < 2 or not t.norm.startswith(last.norm):
+        return t
+    if not re.match(r"[\u3400-\u9fff\uf900-\ufaff]", t.norm) or not 0 <= t.start - last.end <= 2:
+        return t
+    rest = t.text[cut_at(t.text, 1) :].lstrip()
+    return t._replace(text=rest) if rest.strip() and t.start < t.end - EPS else None
+
+
 def overlap(said: str, mine: str, least: int) -> int:
-    """Length of the longest start of mine, of at least that many characters, that ends said: exactly, else nearly."""
+    """Length of the longest start of mine, of at least that many characters, that ends said: exactly, else nearly.
+
+    Nearly means a likeness of 0.90 (0.84 from 20 characters on), with a like end, to an end of said that may be up to 15 % longer or shorter."""
+    said = said[-240:]
     spans = range(min(len(said), len(mine)), least - 1, -1)
     exact = next((n for n in spans if said.endswith(mine[:n])), 0)
     if exact:
         return exact
+    like = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
     for n in spans:
-        tail = min(8, max(3, n // 5))
-        a, b = mine[:n], said[-n:]
-        if (a[-tail:] == b[-tail:] or SequenceMatcher(None, a[-tail:], b[-tail:], autojunk=False).ratio() >= 0.86) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= (0.9 if n < 20 else 0.84):
-            return n
+        slack = max(1, min(8, -(-15 * n // 100)))
+        tail, a = min(8, max(3, n // 5)), mine[:n]
+        for m in sorted({min(len(said), max(least, n + d)) for d in (0, slack, -slack, max(1, slack // 2), -max(1, slack // 2))}, reverse=True):
+            b = said[-m:]
+            if abs(m - n) <= slack and (a[-tail:] == b[-tail:] or like(a[-tail:], b[-tail:]) >= 0.86) and like(a, b) >= (0.9 if n < 20 else 0.84):
+                return n
     return 0
