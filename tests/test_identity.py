@@ -9,7 +9,8 @@ from turnloom.functions.alignment import align, deadline_groups, lineage, resolv
 from turnloom.functions.turns import Turn
 from turnloom.identity.evidence import Bridge, Candidate, Evidence, Exemplars, VoiceProfile, assess, bridge, union_length
 from turnloom.identity.model import IdentityModel, Lineages, Observation, Settings
-from turnloom.streaming.binding import Heard, ModelBinder, quality
+from turnloom.identity.registry import Registry, Seen
+from turnloom.streaming.binding import CleanCoreBinder, Heard, ModelBinder, quality
 
 rng = np.random.default_rng(3)
 A, B, C = (v / np.linalg.norm(v) for v in rng.normal(size=(3, 32)))
@@ -167,3 +168,32 @@ def test_revisions_and_deadlines():
     names = iter(["S02", "S03", "S04"])
     got = resolve(tracks, ["S01"], lambda t, o: tier(0.9 if (t, o) == ("x", "S01") else None, [], False, None), lambda: next(names))
     assert got["x"] == ("S01", "acoustic") and len({got[t][0] for t in "xyz"}) == 3 and got["w"][0] in {"S01", "S02", "S03"}
+
+
+def test_registry_moves_are_all_or_nothing():
+    r = Registry()
+    a, b = r.new_track(), r.new_track()
+    see = lambda k, rev=1, x=A, s=0.0: Seen(k, rev, "L", s, s + 2.0, float(rev), near(x), 1.0, "one two three")
+    for k in "pqr":
+        assert r.observe(see(k), a.name)
+    assert not r.observe(see("p"), b.name) and r.observe(see("p", 2), b.name) and r.owner("p") == b.name
+    assert a.support == 2.0 and set(a.evidence) == {"q", "r"}
+    r.published.add("q")
+    assert r.move(a.name, b.name) == () and set(a.evidence) == {"q", "r"}
+    assert r.move(a.name, b.name, ["r", "zz"]) == () and r.move(a.name, b.name, ["r"]) == ("r",)
+    assert not r.discard(a.name) and r.replace("r", see("r2", 3)) and r.owner("r2") == b.name and r.owner("r") is None and not r.replace("q", see("s"))
+    assert r.new_label(b.name) == "S01" == r.new_label(b.name) and r.labels == ["S01"] and not r.discard(b.name)
+    c = r.new_track()
+    r.observe(see("t"), c.name)
+    assert r.discard(c.name) and c.name not in r.tracks
+    assert [x.sequence for x in r.ledger] == list(range(len(r.ledger))) and {x.event for x in r.ledger} == {"observed", "revised", "moved", "discarded"}
+
+
+def test_clean_core_names_established_voices_and_decides_at_the_deadline():
+    b, out = CleanCoreBinder(), {}
+    for i in range(6):
+        out |= b.take([Heard(2 * i, 10 * i, 10 * i + 4, "S01", near(A), text="one two three"), Heard(2 * i + 1, 10 * i + 5, 10 * i + 9, "S02", near(B), text="four five six")])
+    out |= b.end()
+    assert set(out) == set(range(12)) and len({out[2 * i] for i in range(6)}) == 1 and len({out[2 * i + 1] for i in range(6)}) == 1 and out[0] != out[1]
+    short = CleanCoreBinder()
+    assert short.take([Heard(1, 0, 0.5, "S01", None)]) == {} and short.take([]) == {1: "S01"}

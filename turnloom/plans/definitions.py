@@ -92,7 +92,6 @@ RUN = "SELECT id, label, d, x, sum(x) OVER (PARTITION BY label, d ORDER BY id RO
 dims("running_centroid", f"SELECT id, round(sum(x * s) / sqrt(sum(s * s)), 6) AS cosine FROM ({RUN}) r WHERE s IS NOT NULL GROUP BY id")
 CC = "SELECT id, own, label, cosine FROM $affinity"
 dims("centroid_cosines", f"SELECT id, label, round(cosine, 6) AS cosine FROM ({CC}) c")
-dims("calibration_pick", f"SELECT id, own, pick FROM (SELECT id, own, label AS pick, round(cosine, 9) AS cosine, max(CASE WHEN label = own THEN round(cosine, 9) END) OVER (PARTITION BY id) AS mine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, label) AS r FROM ({CC}) c) p WHERE r = 1 AND pick <> own AND cosine - mine >= 0.05 AND cosine >= 0.5")
 dims("row_margin", f"SELECT id, best, round(top - next, 6) AS margin FROM (SELECT id, label AS best, cosine AS top, lead(cosine) OVER (PARTITION BY id ORDER BY cosine DESC, label) AS next, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, label) AS r FROM ({CC}) c) m WHERE r = 1")
 dims("column_margin", f"SELECT label, best, round(top - next, 6) AS margin FROM (SELECT label, id AS best, cosine AS top, lead(cosine) OVER (PARTITION BY label ORDER BY cosine DESC, id) AS next, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, id) AS r FROM ({CC}) c) m WHERE r = 1")
 dims("unique_best", f"SELECT id, best FROM (SELECT id, label AS best, cosine AS top, lead(cosine) OVER (PARTITION BY id ORDER BY cosine DESC, label) AS next, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, label) AS r FROM ({CC}) c) m WHERE r = 1 AND (next IS NULL OR top - next > 1e-12)")

@@ -1,4 +1,4 @@
-"""Speaker binding: local labels of turns become lasting labels of a recording, by fixed cosine thresholds or by the identity model.
+"""Speaker binding: local labels of turns become lasting labels of a recording, by fixed cosine thresholds, by the identity model, or by clean voice profiles.
 
 By thresholds, per tick the new turns are matched one to one with the recording's tracks. A turn keeps the track of its local label unless its voice
 contradicts it, and joins another label's track only if the voices are nearly equal; whatever matches none begins a track. Labels are given
@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alignment import align, lineage
+from ..functions.alignment import align, lineage, resolve, tier
 from ..functions.matching import assign
 from ..functions.turns import Turn
 from ..functions.voices import unit
 from ..identity.evidence import NATIVE, Evidence, assess, bridge
 from ..identity.model import IdentityModel, Observation, Settings
+from ..identity.registry import Registry, Seen
+from ..identity.registry import Track as KnownTrack
 
 # Fixed values of the policy.
 SAME, PLAIN, OTHER = 0.30, 0.70, 0.90
@@ -48,18 +50,16 @@ class Track:
 
     def score(self, h: Heard) -> float:
         """Positive if h may be this track's: more with shared time, most with the same local label."""
-        shared = max((min(e, h.end) - max(s, h.start) for s, e in self.spans), default=0.0)
-        shared, mine = max(0.0, shared), h.local in self.locals
-        if not core(h):
-            return 0.5 + shared if mine and shared > 0 else -1.0
-        if not self.cores:
-            return 0.75 + shared if mine and shared > 0 else -1.0
-        cosine = float(unit(np.mean(self.cores, axis=0)) @ h.voice) if np.linalg.norm(np.mean(self.cores, axis=0)) > 1e-12 else 0.0
-        floor = OTHER if not mine else SAME if shared >= OVERLAP else PLAIN
-        if cosine < floor:
-            return -1.0
-        bonus = 0.0 if not mine else 2.0 if shared >= OVERLAP else 0.5
-        return bonus + shared + max(0.0, cosine)
+        shared = max((max(0.0, min(e, h.end) - max(s, h.start)) for s, e in self.spans), default=0.0)
+        mine, long = h.local in self.locals, shared >= OVERLAP
+        if not (core(h) and self.cores):  # no voice to compare: only the same label at the same time speaks for the track
+            base = 0.75 if core(h) else 0.5
+            return base + shared if mine and shared > 0 else -1.0
+        center = unit(np.mean(self.cores, axis=0))
+        cosine = 0.0 if center is None else float(center @ h.voice)
+        # (same label, shared time) -> least cosine, bonus
+        least, bonus = {(True, True): (SAME, 2.0), (True, False): (PLAIN, 0.5)}.get((mine, long), (OTHER, 0.0))
+        return bonus + shared + max(0.0, cosine) if cosine >= least else -1.0
 
     def add(self, h: Heard) -> None:
         self.locals.add(h.local)
@@ -162,7 +162,100 @@ class ModelBinder:
         return out
 
 
-POLICIES = {"fixed-cosine": Binder, "lego": ModelBinder}
+class CleanCoreBinder:
+    """Labels by clean voice profiles. A turn joins the one track it surely sounds like; a track gets a label once its profile is established and
+    sounds like no labelled one. What is undecided after `waits` ticks takes the best there is."""
+
+    def __init__(self, waits: int = 1, seconds: float = 0.0, windows: int = 2):
+        self.registry, self.tick, self.waits, self.seconds, self.windows = Registry(), 0, waits, seconds, windows
+        self.open: dict[str, tuple[int, Heard]] = {}  # turns without a label, and the tick they came in
+
+    def _floor(self, t: KnownTrack) -> float:
+        """Cosine from which a voice is the track's."""
+        return PLAIN if t.label is None else max(PLAIN, 0.8 * (t.cohesion() or 0.0))
+
+    def _score(self, t: KnownTrack, h: Heard) -> float:
+        shared = max((max(0.0, min(o.end, h.end) - max(o.start, h.start)) for o in t.evidence.values()), default=0.0)
+        if core(h):
+            near = t.nearest([h.voice])
+            if near is not None:
+                return near if near + 1e-12 >= self._floor(t) else -1.0
+        return (0.75 if core(h) else 0.5) + shared if h.local in t.locals and shared > 1e-9 else -1.0
+
+    def _candidates(self, hs: list[Heard]) -> dict[str, float]:
+        """Tracks that a local label's turns may belong to; of labelled ones only the best, if it is the only best."""
+        score = {n: max(self._score(t, h) for h in hs) for n, t in self.registry.tracks.items()}
+        named = sorted(((s, n) for n, s in score.items() if s > 0 and self.registry.tracks[n].label), reverse=True)
+        sole = named[0][1] if named and (len(named) == 1 or named[0][0] - named[1][0] > 1e-12) else None
+        return {n: s for n, s in score.items() if s > 0 and (self.registry.tracks[n].label is None or n == sole)}
+
+    def _settle(self) -> None:
+        """Tracks without label that surely sound like a labelled one join it, the surest first, one to one; established others get a label."""
+        r = self.registry
+        loose = [t for t in r.tracks.values() if t.label is None]
+        proposals = sorted(((near, t.name, k.name) for t in loose for k in r.tracks.values() if k.label and (near := t.nearest(k.vectors)) is not None and near + 1e-12 >= self._floor(k)), key=lambda x: (-x[0], x[1], x[2]))
+        used: set[str] = set()
+        for _, a, b in proposals:
+            if not {a, b} & used and r.move(a, b, reason="profile"):
+                used |= {a, b}
+        for t in sorted((t for t in r.tracks.values() if t.label is None), key=lambda t: t.name):
+            rivals = [x for k in r.tracks.values() if k.label and (x := t.nearest(k.vectors)) is not None and x + 1e-12 >= self._floor(k)]
+            if t.profile.state == "established" and t.confirmed(self.seconds, self.windows) and not rivals:
+                r.new_label(t.name)
+
+    def take(self, heard: list[Heard], final: bool = False) -> dict[int, str]:
+        """Labels that are decided now: of this tick's turns, or of earlier ones."""
+        self.tick += 1
+        r, parts = self.registry, {}
+        for h in sorted(heard, key=lambda h: (h.start, h.end, h.key)):
+            parts.setdefault(h.local, []).append(h)
+        rows = {p: self._candidates(hs) for p, hs in parts.items()}
+        got = assign(sorted(parts), sorted(r.tracks), {(p, n): s for p, row in rows.items() for n, s in row.items()})
+        for p, hs in sorted(parts.items(), key=lambda x: x[1][0].start):
+            name = got.get(p) or r.new_track().name
+            for h in hs:
+                r.observe(Seen(str(h.key), self.tick, h.local, h.start, h.end, float(self.tick), h.voice if core(h) else None, quality(h, heard), h.text), name)
+                self.open[str(h.key)] = (self.tick, h)
+        self._settle()
+        late: dict[str, list] = {}
+        for k, (since, h) in self.open.items():
+            t = r.owner(k)
+            if r.tracks[t].label is None:
+                late.setdefault(t, []).append((since, Turn(h.start, h.end, h.local, h.text or "")))
+        due = {t: x for t, x in late.items() if final or any(self.tick - since >= self.waits for since, _ in x)}
+
+        def tiers(track: str, label: str) -> tuple[float, float, str]:
+            known = r.of_label(label)
+            gaps = [max(0.0, t.start - o.end, o.start - t.end) for _, t in due[track] for o in known.evidence.values()]
+            return tier(r.tracks[track].nearest(known.vectors), [], bool({t.speaker for _, t in due[track]} & known.locals), min(gaps, default=None))
+
+        names: dict[str, str] = {}
+
+        def fresh() -> str:
+            self.registry.named += 1
+            return f"S{self.registry.named:02d}"
+
+        for track, (label, _) in resolve(due, r.labels, tiers, fresh).items():
+            names[track] = label
+        for track, label in names.items():
+            known = next((t for t in r.tracks.values() if t.label == label), None)
+            if known is None:
+                r.tracks[track].label = label
+            else:
+                r.move(track, known.name, reason="deadline")
+        out = {}
+        for k in list(self.open):
+            label = r.tracks[r.owner(k)].label
+            if label is not None:
+                out[self.open.pop(k)[1].key] = label
+                r.published.add(k)
+        return out
+
+    def end(self) -> dict[int, str]:
+        return self.take([], final=True)
+
+
+POLICIES = {"fixed-cosine": Binder, "lego": ModelBinder, "clean-core": CleanCoreBinder}
 
 
 def _bind(policy: str):
@@ -175,6 +268,10 @@ def _bind(policy: str):
             rows.extend((rec, k, label) for k, label in sorted(binder.take(waiting).items()))
             waiting.clear()
 
+        def close() -> None:
+            flush()
+            rows.extend((rec, k, label) for k, label in sorted(getattr(binder, "end", dict)().items()))
+
         def batch() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             rows.clear()
@@ -182,13 +279,15 @@ def _bind(policy: str):
 
         for b in batches:
             for r, t, key, start, end, local, voice, text in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if (r, t) != (rec, tick):
+                if r != rec:
+                    close()
+                    binder = make()
+                elif t != tick:
                     flush()
-                    binder = binder if r == rec else make()
-                    rec, tick = r, t
+                rec, tick = r, t
                 waiting.append(Heard(key, start, end, local or "UNK", unit(voice), text=text))
             yield batch()
-        flush()
+        close()
         yield batch()
 
     return run
