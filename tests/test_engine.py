@@ -12,6 +12,7 @@ from turnloom.functions.voices import Calibrator, Views
 from turnloom.sources import sinks
 from turnloom.streaming.engine import Engine, digest, schedule
 from turnloom.streaming.ledger import Ledger, Rules, grows, overlap, restarted
+from turnloom.streaming.session import Behind, Session
 
 SPOKEN = [Turn(0.5, 3.0, "S01", "hello there my friend."), Turn(3.5, 6.0, "S02", "good morning to you all."), Turn(7.0, 9.5, "S01", "shall we begin the meeting now?")]
 
@@ -142,3 +143,35 @@ def test_calibration():
         x.sums = dict(near.sums)
         t = next(t for t in np.linspace(0, 0.5, 500001) if np.cos(0.5 - t) - np.cos(t) >= 0.05)
         assert (x.review("S01", np.array([np.cos(t), np.sin(t)]), 2.0) == "S02") is moved
+
+
+def test_live_session_equals_the_run_of_the_file():
+    rate = 100
+    wave = np.zeros(1250, np.float32)
+
+    def hear(samples, window, prompt):
+        assert len(samples) == round((window.end - window.start) * rate)
+        return simulated()(window, prompt)
+
+    rows, done = [], []
+    s = Session(hear, Stream(), rate=rate, emit=rows.append, on_finish=done.append)
+    for i in range(13):
+        s.feed(wave[100 * i : 100 * i + 100], i)
+        list(s.work())
+    v = s.finish()
+    e = Engine(simulated(), Stream())
+    e.run(12.5)
+    assert [t[:4] for t in s.engine.published] == [t[:4] for t in e.published] and [r["tick"] for r in rows] == [r["tick"] for r in e.rows] and v["status"] == "passed" and done == [v]
+    late = Session(hear, Stream(), rate=rate, backlog=5.0)
+    with pytest.raises(Behind):
+        for i in range(13):
+            late.feed(wave[:100], i)
+    assert late.engine.validation(3)["status"] == "failed" and Session(hear, rate=rate).finish()["tick_count"] == 0
+
+
+def test_labels_are_bound_in_the_same_step_and_never_rewritten():
+    e = Engine(simulated(), Stream(), bind=lambda new, w: [f"P{t.speaker}" for t in new])
+    e.run(12.5)
+    assert [t.speaker for t in e.published] == ["PS01", "PS02", "PS01"] and e.rows[-1]["tick"] == 12.5
+    with pytest.raises(ValueError, match="rewritten"):
+        e._named(SPOKEN[0]._replace(text=e.published[0].text), "other")

@@ -1,6 +1,6 @@
 """A recording, tick by tick: windows are decoded, the ledger publishes, and each tick leaves a row of the trace.
 
-The decoder, observers and what runs after a tick are handed in. An observer sees copies and can't fail a run. A recoverable error of the
+The decoder, what gives lasting labels, observers and what runs after a tick are handed in. A tick commits, binds and publishes as one step. An observer sees copies and can't fail a run. A recoverable error of the
 decoder gives an empty tick; any other ends the run, as does a run whose ticks all failed."""
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ def as_row(t: Turn) -> dict:
 
 
 class Engine:
-    def __init__(self, decode: Decoder, stream: Stream | None = None, *, ledger: Ledger | None = None, prompt: str = "", map_turns: Callable[[Window, tuple[Turn, ...]], Iterable[Turn]] | None = None, after: Callable[[list[Turn], Window], dict] | None = None, observers: Iterable[Callable[[dict], None]] = (), clock: Callable[[], float] = time.perf_counter):
-        self.decode, self.stream, self.prompt, self.map_turns, self.after, self.observers, self.clock = decode, stream or Stream(), prompt, map_turns, after, list(observers), clock
+    def __init__(self, decode: Decoder, stream: Stream | None = None, *, ledger: Ledger | None = None, prompt: str = "", map_turns: Callable[[Window, tuple[Turn, ...]], Iterable[Turn]] | None = None, bind: Callable[[list[Turn], Window], list[str]] | None = None, after: Callable[[list[Turn], Window], dict] | None = None, observers: Iterable[Callable[[dict], None]] = (), clock: Callable[[], float] = time.perf_counter):
+        self.decode, self.stream, self.prompt, self.map_turns, self.bind, self.after, self.observers, self.clock = decode, stream or Stream(), prompt, map_turns, bind, after, list(observers), clock
+        self.labels: dict[str, str] = {}
         self.ledger = ledger or Ledger(Rules(right=self.stream.right_context_sec, context=self.stream.context_sec, overlap_seconds=self.stream.overlap_sec_min, overlap_share=self.stream.overlap_fraction_min, grace=self.stream.empty_grace_ticks, deadline=self.stream.best_effort_publish_sec))
         self.rows: list[dict] = []
         self.published: list[Turn] = []
@@ -61,6 +62,8 @@ class Engine:
         if odd := [t for t in mapped if t.start < window.start - 1e-3 or t.end > window.end + 1e-3]:
             raise ValueError(f"a turn lies outside its window: {odd[0]}")
         new = self._timed("commit", lambda: self.ledger.take(window.tick, list(mapped), final))
+        if self.bind:
+            new = [self._named(t, label) for t, label in zip(new, self._timed("bind", lambda: self.bind(new, window)), strict=True)]
         self.published += new
         row = {
             "tick": window.tick, "window_start": window.start, "window_end": window.end, "status": "passed", "gate_status": "passed", "text": got.text,
@@ -82,6 +85,13 @@ class Engine:
                 self.observer_errors += 1
         return row
 
+    def _named(self, t: Turn, label: str) -> Turn:
+        """The turn under its lasting label, which is given once."""
+        key = stable_id(t)
+        if self.labels.setdefault(key, label) != label:
+            raise ValueError(f"a label would be rewritten: {self.labels[key]} to {label}")
+        return t._replace(speaker=label)
+
     def run(self, duration: float) -> dict:
         """All ticks of a recording, and its validation."""
         windows = list(schedule(duration, self.stream))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.turns import Turn
+from ..functions.voices import unit
 from ..plans.views import CHAR_MS, CONTEXT_MS, STEP_MS
+from .binding import Heard, ModelBinder
 from .ledger import Ledger
 
 OUT = "rec long, seq long, tick double, start double, end double, speaker string, text string"
@@ -36,22 +38,35 @@ def shown(spoken: Iterable[Spoken], tick: int) -> list[Turn]:
 class Replay:
     """One recording: turns in order of their start go in, rows come out as ticks pass. Memory holds one window's turns."""
 
-    def __init__(self, rec: int):
+    def __init__(self, rec: int, binder=None):
         self.rec, self.ledger, self.seq, self.tick, self.stop = rec, Ledger(), 0, STEP_MS, 0
         self.window: list[Spoken] = []
+        self.binder = binder
+        self.voices: list[tuple[int, int, object]] = []  # of the window's turns
 
     def _step(self, tick: int, final: bool) -> Iterator[tuple]:
         low = tick - CONTEXT_MS
         self.window = [t for t in self.window if t[1] > low]
-        for t in self.ledger.take(tick / 1000, shown(self.window, tick), final):
-            yield self.rec, self.seq, tick / 1000, t.start, t.end, t.speaker, t.text
+        out = self.ledger.take(tick / 1000, shown(self.window, tick), final)
+        self.voices = [v for v in self.voices if v[1] > low - CONTEXT_MS]
+        heard = [Heard(i, t.start, t.end, t.speaker, self._voice(t), text=t.text) for i, t in enumerate(out)]
+        label = self.binder.take(heard) if self.binder else {}
+        for i, t in enumerate(out):
+            yield self.rec, self.seq, tick / 1000, t.start, t.end, label.get(i, t.speaker), t.text
             self.seq += 1
 
-    def put(self, turn: Spoken) -> Iterator[tuple]:
+    def _voice(self, t: Turn):
+        """The voice of the spoken turn that shares most time with a published one."""
+        shared = [(min(e / 1000, t.end) - max(s / 1000, t.start), v) for s, e, v in self.voices]
+        best = max(shared, key=lambda x: x[0], default=(0.0, None))
+        return best[1] if best[0] > 0 else None
+
+    def put(self, turn: Spoken, voice=None) -> Iterator[tuple]:
         while self.tick <= turn[0]:
             yield from self._step(self.tick, False)
             self.tick += STEP_MS
         self.window.append(turn)
+        self.voices.append((turn[0], turn[1], voice))
         self.stop = max(self.stop, turn[1])
 
     def end(self) -> Iterator[tuple]:
@@ -66,18 +81,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], names=COLS)
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at: Replay | None = None
-    for b in batches:
-        rows: list[tuple] = []
-        for rec, start, end, label, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if at is None or at.rec != rec:
-                rows += at.end() if at else ()
-                at = Replay(rec)
-            rows += at.put((start, end, label or "UNK", text or ""))
-        yield _batch(rows)
-    if at:
-        yield _batch(list(at.end()))
+def _replay(bound: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: Replay | None = None
+        for b in batches:
+            rows: list[tuple] = []
+            voices = b.column(5).to_pylist() if bound else [None] * b.num_rows
+            for rec, start, end, label, text, voice in zip(*(b.column(i).to_pylist() for i in range(5)), voices, strict=True):
+                if at is None or at.rec != rec:
+                    rows += at.end() if at else ()
+                    at = Replay(rec, ModelBinder() if bound else None)
+                rows += at.put((start, end, label or "UNK", text or ""), unit(voice))
+            yield _batch(rows)
+        if at:
+            yield _batch(list(at.end()))
+
+    return run
 
 
 def revision_ledger(dialog: DataFrame) -> DataFrame:
@@ -86,7 +105,14 @@ def revision_ledger(dialog: DataFrame) -> DataFrame:
     Recordings are independent and dealt by a hash; a recording is a sequence by nature, replayed by one task as a stream of sorted rows.
     Rows without rec or times are left out; a null label is UNK, a null text empty, which publishes nothing."""
     rows = dialog.where("rec is not null and start_ms is not null and end_ms is not null").select("rec", "start_ms", "end_ms", "label", "text")
-    return rows.repartition("rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay, OUT)
+    return rows.repartition("rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay(False), OUT)
+
+
+def published_speakers(dialog: DataFrame) -> DataFrame:
+    """As revision_ledger, of dialog with a voice a turn (null: none): what a tick publishes has its lasting label from the identity model, in
+    the same step."""
+    rows = dialog.where("rec is not null and start_ms is not null and end_ms is not null").select("rec", "start_ms", "end_ms", "label", "text", "voice")
+    return rows.repartition("rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay(True), OUT)
 
 
 def snapshots(dialog: DataFrame) -> DataFrame:
