@@ -10,7 +10,7 @@ from typing import Any
 
 from .identity.model import Settings
 
-POLICIES = ("lego", "fixed-cosine", "clean-core")
+POLICIES = ("identity", "fixed-cosine", "clean-core")
 # Settings that older runs had and that mean nothing now.
 RETIRED = frozenset({"max_algorithmic_delay_sec", "publication_age_limit_sec", "merge", "core_max_overlap_fraction", "identity_shadow_twin", "hierarchical_posterior_freeze"})
 MISMATCH_SEC, MISMATCH_SHARE = 30.0, 0.05  # by which a declared duration may differ from the file's
@@ -96,7 +96,7 @@ class Embedding:
 
 @dataclass(frozen=True)
 class Association:
-    policy: str = "lego"
+    policy: str = "identity"
     min_cosine: float = 0.70
     merge_cosine: float = 0.90
     split_cosine: float = 0.30

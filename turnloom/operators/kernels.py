@@ -138,9 +138,9 @@ def speaker_binding_fixed_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.bind(_heard(spark, sf_dir))
 
 
-def speaker_binding_lego(spark: SparkSession, sf_dir: str) -> DataFrame:
+def speaker_binding_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lasting labels of the dialog's turns by the identity model."""
-    return binding.bind(_heard(spark, sf_dir), "lego")
+    return binding.bind(_heard(spark, sf_dir), "identity")
 
 
 def published_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +266,7 @@ def voice_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.mapInPandas(_profiled, "label int, state string, active array<string>, quarantined long")
 
 
-_ALL = (parse_transcript, parser_agreement, text_similarity, repetition_loop, marker_text_loop, assignment, snapshot_duplicates, snapshot_alignment, voice_clusters, revision_ledger, calibration_pick, constrained_assignment, pending_revision_match, speaker_binding_fixed_cosine, speaker_binding_lego, speaker_binding_clean_core, published_speakers)
+_ALL = (parse_transcript, parser_agreement, text_similarity, repetition_loop, marker_text_loop, assignment, snapshot_duplicates, snapshot_alignment, voice_clusters, revision_ledger, calibration_pick, constrained_assignment, pending_revision_match, speaker_binding_fixed_cosine, speaker_binding_identity, speaker_binding_clean_core, published_speakers)
 QUERIES = {f.__name__: f for f in _ALL}
 #: The grammar read back what was rendered: the dialog itself, without turns whose text is blank.
 ORACLE = {"parse_transcript": "SELECT rec, turn, CAST(0 AS integer) AS place, start_ms, end_ms, label AS speaker, sha256(trim(text)) AS text_sha FROM $dialog WHERE trim(text) <> ''"}

@@ -156,7 +156,7 @@ def publishable(folder: str | Path, speakers: bool = False) -> bool:
     )
 
 
-def materialize(folder: str | Path, policy: str = "lego") -> dict:
+def materialize(folder: str | Path, policy: str = "identity") -> dict:
     """Copy a published recording as the artifact with lasting labels, and a summary; nothing is labelled anew."""
     folder = Path(folder)
     if not publishable(folder):

@@ -255,7 +255,7 @@ class CleanCoreBinder:
         return self.take([], final=True)
 
 
-POLICIES = {"fixed-cosine": Binder, "lego": ModelBinder, "clean-core": CleanCoreBinder}
+POLICIES = {"fixed-cosine": Binder, "identity": ModelBinder, "clean-core": CleanCoreBinder}
 
 
 def _bind(policy: str):
