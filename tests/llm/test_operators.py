@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from turnloom.llm import bpe, chaining, exact_dedup, jaccard_join, kneser_ney, line_dedup, mixing, pivots, toxicity, warc, words
@@ -74,6 +75,24 @@ def test_exact_dedup(spark, rows):
         want.append((r[0], keep, len(group), r[0] == keep, hashlib.sha256(norm(r[1]).encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
+    weak = exact_dedup.exact_dedup(frame(spark, rows), digest=lambda norm: F.substring(F.sha2(norm, 256), 1, 1), batches=3)  # texts that clash are told apart by their bytes
+    assert sorted((tuple(r)[:4] for r in weak.collect()), key=str) == sorted((w[:4] for w in want), key=str)
+
+
+def test_exact_dedup_goes_on_from_its_checkpoint(spark, tmp_path):
+    rows = [(i, hashlib.sha256(str(i % 7).encode()).hexdigest(), 5 + i % 3) for i in range(60)]
+    schema = "doc_id long, digest string, code_points long"
+    at, out, checkpoint = (str(tmp_path / x) for x in ("digests", "out", "state"))
+    for part in (rows[:25], rows[25:]):  # the second run restores the state of the first
+        df = spark.createDataFrame(part, schema).repartition(3).select("doc_id", "digest", "code_points", F.lit(1).cast("long").alias("file"), F.col("doc_id").alias("at"))
+        df.write.mode("append").parquet(at)
+        exact_dedup.dedup_stream(at, df.schema, out, checkpoint, spark)
+    got = {r.digest: (r.keep_id, r.at, r.group_size) for r in exact_dedup.last_state(spark, out).collect()}
+    for d in {r[1] for r in rows}:
+        group = [r for r in rows if r[1] == d]
+        keep = min(group, key=lambda r: (-r[2], r[0]))[0]
+        assert got[d] == (keep, keep, len(group))
+    assert len([x for x in (tmp_path / "out").iterdir() if x.name.startswith("part=")]) >= 4  # three micro-batches, and the empty part
 
 
 def test_line_dedup(spark):
@@ -90,7 +109,7 @@ def test_line_dedup(spark):
     want = [(d, "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]), len((t or "").split("\n")), len(gone[i])) for i, (d, t) in enumerate(texts)]
     assert got == sorted(want, key=str)
     docs = frame(spark, texts).selectExpr("monotonically_increasing_id() AS row", "doc_id", "text")
-    runs = {(r.lines, r.start, r.source_start) for r in line_dedup.repeated_runs(docs)[1].collect()}
+    runs = {(r.lines, r.start, r.source_start) for r in line_dedup.repeated_runs(docs).collect()}
     assert (3, 0, 1) in runs
 
 
@@ -105,6 +124,10 @@ def test_bpe_matches_the_library(spark, rows):
         e = t.encode(r[1] or "", add_special_tokens=False)
         want.add((r[0], len(e.ids), sha(" ".join(map(str, e.ids))), sha(t.decode(e.ids, skip_special_tokens=False))))
     assert mine == want
+    whole = bpe.bpe_round_trip(frame(spark, rows + odd), bpe.tokenizer_path(), whole=True)
+    back = bpe.bpe_decode(whole.withColumnRenamed("decoded", "expected"), bpe.tokenizer_path()).collect()
+    assert len(back) == len(rows + odd) and all(r.decoded == r.expected == t.decode(r.ids, skip_special_tokens=False) for r in back)
+    assert bpe.bpe_round_trip(frame(spark, []), bpe.tokenizer_path()).count() == 0
 
 
 def test_warc_round_trip(spark):
@@ -161,6 +184,13 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     same = spark.createDataFrame([(5, "a b c d e f", "en", "a", 11)] * 3 + [(None, "x y z", "en", "a", 5)] * 2 + [(6, "a b c d e f", "en", "a", 11)], schema)
     for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
         assert sorted((r.doc_id or 0, r.text) for r in stage(spark, same, "").collect()) == [(0, "x y z"), (5, "a b c d e f")]
+    empty = spark.createDataFrame([], schema)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.mixing_stage, corpus_pipeline.token_stage):
+        assert stage(spark, empty, "").count() == 0
+    assert corpus_pipeline.quality_stage(spark, empty, str(tmp_path)).count() == 0
+    blank = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b " * 9000, "en", "a", 36000), (3, "a b " * 9000, "en", "a", 36000), (4, "c d", "de", None, 3)], schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.exact_stage(spark, blank, "").collect()) == [1, 3, 4]  # null and empty texts are equal
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, blank, "").collect()) == [1, 2, 3, 4]
     four = spark.createDataFrame([(5, f"w{i} b c d", "en", "a", 8) for i in range(4)], schema)
     mixed = [r.text for r in corpus_pipeline.mixing_stage(spark, four, "").collect()]
     assert len(mixed) == 6 and all(mixed.count(t) <= 2 for t in mixed)
@@ -192,35 +222,83 @@ def test_mixing(spark, rows):
         least = min(len((r[1] or "").split()) or 10**9 for r in rows if (r[3] if len(r) > 3 else None) == s)
         assert abs(taken - target[s]) <= max(5, 0.02 * target[s], least / 2)
     assert all(0 <= r.taken <= 2 * r.size for r in got)
+    assert all(r.copies == 0 for r in got if r.size == 0)
+    blank = mixing.mix(frame(spark, [(i, None, "en", "s") for i in range(5)] + [(9, "a b c", "en", "s"), (10, None, "en", "t")]))[0].collect()
+    assert {r.doc_id: r.copies for r in blank if r.size == 0} == dict.fromkeys([*range(5), 10], 0)
+    assert mixing.mix(frame(spark, []))[0].count() == 0
     again = mixing.mix(frame(spark, rows))[0].collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
-def test_kneser_ney_sums_to_one_and_rejects_junk(spark):
+def plain_kneser_ney(texts, order):
+    """The model as a function of (context, byte), from dictionaries."""
+    levels = {order: {}}
+    for t in texts:
+        x = b"\0" * (order - 1) + t
+        for i in range(len(t)):
+            g = x[i : i + order]
+            levels[order][g] = levels[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    taken, contexts = {}, {}
+    for k, grams in levels.items():
+        r = [sum(n == i for n in grams.values()) for i in range(5)]
+        y = r[1] / max(r[1] + 2 * r[2], 1)
+        taken[k] = [0, *(min(max(i - (i + 1) * y * r[i + 1] / max(r[i], 1), 0.1 * i), 0.95 * i) for i in (1, 2, 3))]
+        contexts[k] = {}
+        for g, n in grams.items():
+            total, off = contexts[k].get(g[:-1], (0, 0))
+            contexts[k][g[:-1]] = total + n, off + taken[k][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        total, off = contexts[k].get(g[:-1], (0, 0))
+        if not total:
+            return p(g[1:])
+        n = levels[k].get(g, 0)
+        return (n - taken[k][min(n, 3)]) / total + off / total * p(g[1:])
+
+    return p
+
+
+def test_perplexity_against_a_plain_model(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 40)))
+    docs = [(i, text(), rng.choice(["en", "de"])) for i in range(80)] + [(200, None, "en"), (201, " \n ", "en"), (202, "a\0b unseen ÿ", "en"), (None, "abc abc", "en"), (203, "any", "xx"), (204, "abc", None), (5, "abc de", "en"), (205, text() * 300, "en")]
+    labels = spark.createDataFrame([(i, 1, "x") for i in range(60)] + [(3, 0, "x"), (70, 0, "x"), (None, 1, "x")], "doc_id long, quality int, lang string")
+    frame(spark, docs).repartition(3).write.parquet(str(tmp_path / "d"))  # several splits
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    halves = {r.i: r.h for r in spark.range(60).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("h")).collect()}
+    good = lambda h, g: [kneser_ney.plain(t) for i, t, y in docs if i in halves and (y or "") == g and (h is None or halves[i] == h)]
+    plain = {(h, g): plain_kneser_ney(good(h, g), kneser_ney.ORDER) for h in (0, 1, None) for g in ("en", "de")}
+    for source in (stored, frame(spark, docs)):  # read from files, and not
+        got = sorted(((r.doc_id, r.lang, r.n_bytes, r.perplexity) for r in kneser_ney.quality(source, labels).collect()), key=str)
+        want = []
+        for i, t, g in docs:
+            x = kneser_ney.plain(t)
+            p = plain.get((1 - halves[i] if i in halves else None, g or ""), lambda _: 1 / 256)
+            full = b"\0" * (kneser_ney.ORDER - 1) + x
+            logp = sum(np.log(p(full[k : k + kneser_ney.ORDER])) for k in range(len(x)))
+            want.append((i, g, len(x), float(np.exp(-logp / len(x))) if x else None))
+        assert len(got) == len(want)
+        for a, b in zip(got, sorted(want, key=str), strict=True):
+            assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-4 * b[3])
+    p = plain[(None, "en")]
+    for context in (b"\0\0\0\0", b"abc ", b"zzzz"):  # probabilities of whatever may follow a context sum to one
+        assert abs(sum(p(context + bytes([c])) for c in range(256)) - 1) < 1e-9
+    assert kneser_ney.quality(stored.limit(0), labels).count() == 0 and kneser_ney.quality(frame(spark, []), labels.limit(0)).count() == 0
+
+
+def test_quality_rejects_junk(spark):
     good = [(i, "the cat sat on the mat and the dog ran to the tree " * 3, "en") for i in range(20)]
     bad = [(100, "ZXQ!! KJW## QQQ%% VVV&& XZX", "en"), (101, None, "en"), (102, "anything", "xx"), (103, "the dog sat on the mat", None)]
-    docs = frame(spark, good + bad)
     labels = spark.createDataFrame([(i, 1, 0, "t") for i in range(20)] + [(100, 0, 0, "t"), (0, 1, 0, "t")], "doc_id long, quality int, toxic int, text string")
-    kept = {r.doc_id: r.kept for r in kneser_ney.quality(docs, labels).collect()}
+    kept = {r.doc_id: r.kept for r in kneser_ney.quality(frame(spark, good + bad), labels).collect()}
     assert all(kept[i] for i in range(20)) and not kept[100] and not kept[101] and kept[102]
-    model = kneser_ney.train(docs.where("doc_id < 20").select("text", "lang"))
-    rows = model.toArrow()
-    s = kneser_ney.Scorer(rows, kneser_ney.ORDER, np.ones(256, bool))
-    for context in (b"the", b"m", b"", b"zz"):  # probabilities of whatever may follow a context sum to one
-        key = int.from_bytes((b"\0" * 4 + context)[-4:], "big") << 8
-        total = 0.0
-        for c in range(256):
-            w, p = 0.0, None
-            for k in range(kneser_ney.ORDER, 0, -1):
-                part = (key | c) & ((1 << 8 * k) - 1)
-                got = s.find("en", k, np.array([part]))[0]
-                if not np.isnan(got):
-                    p = w + got
-                    break
-                back = s.find("en", -k, np.array([part >> 8]))[0]
-                w += 0 if np.isnan(back) else back
-            total += np.exp(w - np.log(256) if p is None else p)
-        assert abs(total - 1) < 1e-4
 
 
 def test_kneser_ney_sees_word_order_and_repetition(spark):
@@ -256,6 +334,38 @@ def test_toxicity(spark):
     assert toxicity.train(frame(spark, docs), lab.limit(0))[0].size == 0
 
 
+def test_swaps_stay_in_a_language_and_category():
+    near = lambda t: [x.decode() for x in toxicity.swaps(t.lower().encode())]
+    assert near("a gay man, and two women.") == ["a lesbian girl, and two men.", "a straight boy, and two girls."]
+    assert near("eine FRAU kam") == ["eine mann kam"] and near("la femme est là") == ["la homme est là"]
+    assert near("nothing here") == [] and toxicity.swaps(b"") == []
+    assert toxicity.swaps("JÜDISCH oder".encode()) == ["muslimisch oder".encode(), "christlich oder".encode()]
+
+
+def test_the_penalty_lowers_the_weight_of_identity_terms(spark):
+    rng = random.Random(11)
+    filler = [f"w{i}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        ws = [rng.choice(filler) for _ in range(25)]
+        # Toxic rows mention one group far more often than others do, and carry one of two vile words.
+        ws += ["muslim"] * (rng.random() < (0.8 if bad else 0.05)) + ["christian"] * (rng.random() < 0.3) + ([rng.choice(["vileword", "foulword"])] if bad and rng.random() < 0.8 else [])
+        rng.shuffle(ws)
+        docs.append((i, " ".join(ws)))
+        labels.append((i, int(bad)))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [(1000 + i, " ".join([*(rng.choice(filler) for _ in range(25)), "muslim"])) for i in range(60)]
+    swapped = [(2000 + i, t.replace("muslim", "christian")) for i, (_, t) in enumerate(neutral)]
+    score = {}
+    for swap in (0.0, 2.0):
+        got = {r.doc_id: r.score for r in toxicity.score(frame(spark, neutral + swapped), *toxicity.train(frame(spark, docs), lab, swap=swap)).collect()}
+        score[swap] = np.array([[got[1000 + i], got[2000 + i]] for i in range(60)])
+    change = {k: np.abs(v[:, 0] - v[:, 1]).mean() for k, v in score.items()}
+    false = {k: (v[:, 0] >= 0.5).mean() for k, v in score.items()}
+    assert change[2.0] < 0.25 * change[0.0] and false[2.0] <= false[0.0] and score[2.0][:, 0].mean() < score[0.0][:, 0].mean()
+
+
 def test_passages(spark):
     rng = random.Random(2)
     fresh = lambda n: [f"{rng.randrange(10**6):x}" for _ in range(n)]
@@ -300,6 +410,77 @@ def test_passages_meet_a_whole_copy_behind_partial_ones(spark):
     assert (6, 3, 30, 100) in got
 
 
+def test_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    vocab = [f"{rng.randrange(10**6):x}" for _ in range(3000)]
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs, planted = {i: fresh(rng.randint(60, 200)) for i in range(120)}, []
+    for k in range(30):
+        p = fresh(rng.randint(55, 90))
+        homes = sorted(rng.sample(range(120), 3))
+        for j, i in enumerate(homes):
+            mine = list(p)
+            for c in range(0 if j < 2 else len(p) // 12):  # the third copy is a fuzzy one
+                mine[rng.randrange(len(mine))] = f"c{c}"
+            at = rng.randrange(len(docs[i]))
+            docs[i] = docs[i][:at] + mine + docs[i][at:]
+            if j:
+                planted.append((i, mine[5:-5], j == 2))
+        for i in rng.sample(range(120), 14):  # decoys: pieces of the passage in many other documents
+            at = rng.randrange(len(p) - 26)
+            docs[i] = docs[i] + fresh(3) + p[at : at + rng.randint(16, 26)]
+    got = [r for r in chaining.passages(frame(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect() if r.kind == "passage"]
+    for r in got:  # what is reported is so, by the full longest common subsequence
+        a, b = docs[r.doc_id][r.start : r.end], docs[r.first_doc_id][r.first_start : r.first_end]
+        row = [0] * (len(b) + 1)
+        for w in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, old=tuple(row), w=w: old[j - 1] + 1 if b[j - 1] == w else max(left, old[j]), initial=0))
+        assert r.first_doc_id < r.doc_id and max(len(a), len(b)) >= chaining.LEAST_WORDS and row[-1] >= chaining.LEAST_SIMILARITY * max(len(a), len(b))
+    caught = {True: [], False: []}
+    for i, core, fuzzy in planted:
+        at = [k for k in range(len(docs[i])) if docs[i][k : k + len(core)] == core]
+        # A later insertion may have cut a planted copy; such a one is no case.
+        if at:
+            spans = [(r.start, r.end) for r in got if r.doc_id == i]
+            caught[fuzzy].append(any(s <= at[0] + len(core) // 2 < e and min(e, at[0] + len(core)) - max(s, at[0]) >= 0.75 * len(core) for s, e in spans))
+    assert len(caught[False]) > 15 and np.mean(caught[False]) >= 0.95 and np.mean(caught[True]) >= 0.9
+    assert chaining.passages(frame(spark, [])).count() == 0
+
+
+def test_passages_of_repeated_words_nulls_and_a_long_text(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"{rng.randrange(10**6):x}" for _ in range(n)]
+    p = fresh(80)
+    docs = [(1, "the " * 300), (2, "the " * 280 + "end"), (3, None), (4, " "), (None, " ".join(p)), (5, " ".join(fresh(15000) + p)), (6, " ".join(p)), (6, " ".join(p)), (7, "the " * 300)]
+    got = {(r.doc_id, r.first_doc_id, r.kind) for r in chaining.passages(frame(spark, docs)).collect()}
+    assert (2, 1, "passage") in got and (6, 5, "passage") in got and (7, 1, "copy") in got and not {d for d, _, _ in got} & {3, 4, None}
+
+
+def test_chains_against_dynamic_programming():
+    rng = random.Random(14)
+    for _ in range(200):
+        m = rng.randint(1, 25)
+        x, y = [rng.randrange(150) for _ in range(m)], [rng.randrange(150) for _ in range(m)]
+        n = [rng.randint(5, 20) for _ in range(m)]
+        order = sorted(range(m), key=lambda i: (x[i], y[i]))
+        best = {}
+        for i in order:
+            best[i] = n[i]
+            for j in order:
+                if j not in best or j == i or x[j] >= x[i] or y[j] >= y[i]:
+                    continue
+                gx, gy = x[i] - x[j] - n[j], y[i] - y[j] - n[j]
+                over = max(0, -gx, -gy)
+                if max(gx, gy) <= chaining.BREAK and over < n[i]:
+                    best[i] = max(best[i], n[i] + best[j] - chaining.GAP * abs(gx - gy) - chaining.SKIP * max(0, gx) - over)
+        path = chaining.chains(x, y, n)[0]
+        total = n[path[0]]
+        for j, i in itertools.pairwise(path):
+            gx, gy = x[i] - x[j] - n[j], y[i] - y[j] - n[j]
+            total += n[i] - chaining.GAP * abs(gx - gy) - chaining.SKIP * max(0, gx) - max(0, -gx, -gy)
+        assert abs(total - max(best.values())) < 1e-9
+
+
 def test_chains_prefer_one_diagonal():
     x = [0, 10, 20, 30, 12]
     y = [5, 15, 25, 35, 2]

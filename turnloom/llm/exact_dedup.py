@@ -54,7 +54,7 @@ def dedup_stream(path: str, schema, out: str, checkpoint: str, spark: SparkSessi
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state partition sets aside tens of MB
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     }
@@ -83,20 +83,24 @@ def sha256(norm) -> F.Column:
     return F.sha2(norm, 256)
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, batches: int = BATCHES) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, batches: int = BATCHES, locator: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
     Texts are equal when identical without ASCII blanks; null counts as empty, so all null, empty and blank texts are one group. Of equal
     texts the one with the most code points stays, then the smallest doc_id; a row without doc_id stays only if its group has no other
     id, and then kept is true for each such row. Rows that repeat a doc_id in a group count each and are kept alike. Texts are taken
-    whole, however long. digest makes a string of a normalised text; another than SHA-256 changes no group, only the work. An empty table
+    whole, however long. locator names two columns that tell where a row's text is (file, place), if not the file and row it is read from. digest makes a string of a normalised text; another than SHA-256 changes no group, only the work. An empty table
     gives an empty result; other columns are not read."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if not is_scan(docs):
-        docs, _ = stored(docs, "dedup-rows")
-    norm = normal(F.col("text"))
-    rows = docs.select("doc_id", "text", norm.alias("norm"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    where = list(locator)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *where)
+    if not where:
+        if not is_scan(docs):
+            docs, _ = stored(docs, "dedup-rows")
+        where = [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
+    else:
+        where = [F.col(c) for c in where]
+    rows = docs.select("doc_id", "text", normal(F.col("text")).alias("norm"), where[0].alias("file"), where[1].alias("at"))
     points = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("code_points")
     digests, at = stored(rows.select("doc_id", digest(F.col("norm")).alias("digest"), points, "file", "at"), "dedup-digests")
     out, checkpoint = scratch(spark, "dedup-state"), scratch(spark, "dedup-checkpoint")

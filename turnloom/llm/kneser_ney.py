@@ -33,8 +33,8 @@ from .splits import at, by_split, column, dealt, flat, lists, runs_of, summed
 ORDER = 5
 QUANTILE = 0.995  # of trusted texts' perplexity, by language
 MARGIN = 1.15  # times the quantile's perplexity, from which a text is rejected
-BLOCK = 1 << 20  # bytes of text handled at once
-PENDING = 2_000_000  # n-grams that wait for being counted together
+BLOCK = 1 << 18  # bytes of text handled at once
+PENDING = 400_000  # n-grams of a language and half that wait for being counted together
 BROADCAST_IDS = 2_000_000
 #: A text is in half 0 or 1 of trusted text, or not trusted.
 NOT_TRUSTED = 2

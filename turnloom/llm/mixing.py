@@ -108,9 +108,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(per document doc_id, size, source_size, target, taken, copies and pick; per source its target).
 
     Null, empty and blank texts have size 0 and are never taken (copies 0); a null source is a source of its own, the last. A null doc_id and repeated rows are
-    documents like any other. Copies are whole, so a source's words may miss its target by half of its shortest document. An empty table, or one without words, gives targets of 0. A column row is passed on. Other columns are not read."""
+    documents like any other. Copies are whole, so a source's words may miss its target by half of its shortest document. An empty table, or one without words, gives targets of 0. Columns row, file and at are passed on. Other columns are not read."""
     spark = docs.sparkSession
-    row = ["row"] if "row" in docs.columns else []
+    row = [c for c in ("row", "file", "at") if c in docs.columns]
     d = docs.select(*row, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     d, _ = stored(d, "mix-sizes")
     hist, hist_at = stored(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")

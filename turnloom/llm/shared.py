@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -29,6 +30,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_recording: list[str] | None = None
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the scratch tables that are made meanwhile, for a caller that knows when nothing reads them any more."""
+    global _recording
+    before, _recording = _recording, []
+    try:
+        yield _recording
+    finally:
+        _recording = before
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -42,10 +57,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH_ROWS = 1000  # rows of text that Arrow carries to a Python worker at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer rows at once keep buffers on both sides of a Python worker small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str, partition: str | None = None) -> tuple[DataFrame, str]:
     """Cut lineage: write df to the shared folder and read it again. Returns the table and its path, for drop()."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
+    if _recording is not None:
+        _recording.append(path)
     (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
