@@ -6,8 +6,8 @@ size. Larger sets (heavy), and light ones that a heavy one may match, meet by sc
 partner must touch. The boundary is the cheapest by the corpus's own histogram of sizes.
 
 Frequent shingles go last in the order of every set, so the lists that are scanned are of rare ones; the order is a heuristic and changes
-no result. Identical sets (by a 128-bit digest) are one class from the start. In each list every member is first compared with the list's leader of about its
-size; the components this gives make all but a few comparisons superfluous, and a second scan compares whatever lies in different
+no result. Identical sets (by a 128-bit digest) are one class from the start. In the lists every member is first compared with the leaders of about its
+size that it shares most lists with; the components this gives make all but a few comparisons superfluous, and a second scan compares whatever lies in different
 components yet shares a list. Hence no group of copies is expanded into its pairs, and yet no link between components is lost."""
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be broadcast; more are
 HOT_SHINGLES = 1 << 18  # shingles that are ordered by their counts; the others by their hash
 LIGHT_MOST = 12
 BITS = 4096
+MARK = 256  # bits of the bitmap by which sets that are components of their own are told apart before they are paired
+LEADERS = 3  # of its lists' leaders that a set is compared with before components are formed
 COUNTED = 1_000_000  # shingles of a task that are counted together in search of frequent ones; as many frequent ones are held
 
 
@@ -66,7 +68,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles those that are repeated go on."""
     waiting, held = [], 0
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    names = ["doc_id", "n", "cls", "more", "hot"]
+    names = ["doc_id", "n", "cls", "more", "hot", "mark"]
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         u, c = np.unique(np.concatenate(waiting), return_counts=True)
@@ -75,7 +77,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def frequent() -> pa.RecordBatch:
         u, c = keys[counts > 2], counts[counts > 2]
         none = pa.nulls(len(u), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(c), none, none, pa.array(u.view(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([none, pa.array(c), none, none, pa.array(u.view(np.int64)), pa.nulls(len(u), pa.list_(pa.int64()))], names=names)
 
     for batch in batches:
         ids = batch.column(0)
@@ -89,7 +91,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cls[i] = np.frombuffer(hashlib.blake2b(raw[8 * off[i] : 8 * off[i + 1]], digest_size=16).digest(), np.int64)
             waiting.append(flat)
             held += len(flat)
-            yield pa.RecordBatch.from_arrays([ids.slice(start, len(norm)), pa.array(np.diff(off)), pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.nulls(len(norm), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([ids.slice(start, len(norm)), pa.array(np.diff(off)), pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.nulls(len(norm), pa.int64()), parity(flat, off, MARK)], names=names)
             if held >= COUNTED:
                 keys, counts = merged()
                 waiting, held = [], 0
@@ -149,6 +151,19 @@ def _postings(hot: np.ndarray, rank: np.ndarray, boundary: int):
     return run
 
 
+def parity(flat: np.ndarray, off: np.ndarray, bits: int) -> pa.ListArray:
+    """Per set a bitmap: bit j says whether an odd number of its elements has the low bits j."""
+    n = len(off) - 1
+    at = np.repeat(np.arange(n), np.diff(off)) * bits + (flat & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(bool)
+    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * (bits // 64)).astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def apart(x: str, y: str) -> str:
+    """SQL: how many bits of two bitmaps differ."""
+    return f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set, and its parity bitmap: bit j says whether an odd number of elements has the low bits j."""
     for batch in batches:
@@ -159,14 +174,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(norm), 256):
                 j = min(i + 256, len(norm))
                 part, cuts = flat[off[i] : off[j]], off[i : j + 1] - off[i]
-                at = np.repeat(np.arange(j - i), np.diff(cuts)) * BITS + (part & np.uint64(BITS - 1)).astype(np.int64)
-                odd = (np.bincount(at, minlength=(j - i) * BITS) & 1).astype(bool)
-                bits = np.packbits(odd).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(start + i, j - i),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(part.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * (BITS // 64)).astype(np.int32)), pa.array(bits)),
+                        parity(part, cuts, BITS),
                     ],
                     names=["id", "items", "bits"],
                 )
@@ -188,8 +200,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
     sets, sets_at = stored(among(docs, ids).mapInArrow(_sets, "id long, items array<long>, bits array<long>"), "jaccard-sets")
     small = sets.select("id", F.size("items").alias("n"), "bits")
     near = pairs.join(small.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a").join(small.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    near, near_at = stored(near.where(F.col("n1") + F.col("n2") >= 7 * apart).select("a", "b"), "jaccard-near")
+    near, near_at = stored(near.where(f"n1 + n2 >= 7 * {apart('x', 'y')}").select("a", "b"), "jaccard-near")
     some = among(sets.select(F.col("id").alias("doc_id"), "items"), near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     both = near.join(some.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     inter = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("inter"))
@@ -211,7 +222,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     node that holds the sets of all of them. Other columns are not read. An empty table gives an empty result."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen, _ = stored(docs.mapInArrow(_profile, "doc_id long, n long, cls long, more long, hot long"), "jaccard-profile")
+    seen, _ = stored(docs.mapInArrow(_profile, "doc_id long, n long, cls long, more long, hot long, mark array<long>"), "jaccard-profile")
     mine = seen.where("hot is null")
     reps, reps_at = stored(mine.where("n > 0 and doc_id is not null").groupBy("cls", "more", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     hot = seen.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_SHINGLES).toPandas()
@@ -230,9 +241,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lists, lists_at = stored(led.select("token", "id", "n", "room", "leader"), "jaccard-lists")
 
     first = lists.select(F.col("leader.id").alias("a"), F.col("leader.n").alias("n1"), F.col("leader.room").alias("room1"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("room").alias("room2"))
-    # Of the leaders that a set meets, it is compared with the one it shares most lists with; the rest waits for the second scan.
+    # Of the leaders that a set meets, it is compared with the LEADERS that it shares most lists with; the rest waits for the second scan.
     first = first.where(f"a <> b and {_FITS}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    first = first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b")
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    first = first.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("a", "b")
     first, first_at = stored(first, "jaccard-pairs")
     release(spark)
     links, links_at = _linked(docs, first)
@@ -243,9 +255,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     drop(spark, lists_at)
     several = at.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     heads = at.join(several, "token", "left_semi").groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.count(F.lit(1)).alias("size"))
-    heads, heads_at = stored(heads, "jaccard-heads")
-    x, y = (heads.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("comp", "low", "high", "room", "size")]) for i in (1, 2))
-    met = x.join(y, (x.token == y.token) & F.expr("comp1 < comp2 and high1 * 4 >= low2 * 3 and high2 * 4 >= low1 * 3 and 7 * least(room1, room2) >= 3 * (low1 + low2)"))
+    # A component of one set carries the set's bitmap: linked sets differ in at most (|A| + |B|) / 7 elements, and their bitmaps in no more bits.
+    marks = mine.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("mark").alias("mark"), F.count(F.lit(1)).alias("m")).where("m = 1").select(F.col("doc_id").alias("comp"), "mark")
+    alone = comp.select(F.col("comp").alias("c")).distinct()
+    marks = marks.join(alone, F.expr("comp = c"), "left_anti")
+    heads, heads_at = stored(heads.join(marks, "comp", "left"), "jaccard-heads")
+    x, y = (heads.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("comp", "low", "high", "room", "size", "mark")]) for i in (1, 2))
+    fits = "comp1 < comp2 and high1 * 4 >= low2 * 3 and high2 * 4 >= low1 * 3 and 7 * least(room1, room2) >= 3 * (low1 + low2)"
+    met = x.join(y, (x.token == y.token) & F.expr(f"{fits} and (mark1 is null or mark2 is null or high1 + high2 >= 7 * {apart('mark1', 'mark2')})"))
     # The component with fewer members in the list is expanded first, and only so far as the other's bounds allow.
     turn = F.col("size1") <= F.col("size2")
     pick = lambda c: (F.when(turn, F.col(f"{c}1")).otherwise(F.col(f"{c}2")), F.when(turn, F.col(f"{c}2")).otherwise(F.col(f"{c}1")))
