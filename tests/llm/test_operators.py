@@ -410,6 +410,49 @@ def test_passages_meet_a_whole_copy_behind_partial_ones(spark):
     assert (6, 3, 30, 100) in got
 
 
+def test_passages_meet_any_document_behind_partial_ones(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [f"{rng.randrange(10**6):x}" for _ in range(n)]
+    docs, wanted = [], set()
+    for base, every in ((0, 12), (100, 9), (200, 1000)):
+        p = fresh(72)
+        # Before and behind the whole copy, documents that have any seed of the passage, but no piece that makes one.
+        pieces = [p[k : k + 26] for k in range(0, 72, 21)]
+        if every > 72:  # equal words: the longest seeds have other documents too
+            pieces += [p[k : k + 49] for k in range(0, 24)]
+        other = [w if (k + 3) % every else f"other{k}" for k, w in enumerate(p)]
+        texts = [*pieces, p, *pieces, other]
+        docs += [(base + i, " ".join(fresh(70) + t + fresh(70))) for i, t in enumerate(texts)]
+        wanted.add((base + len(texts) - 1, base + len(pieces)))
+    got = {(r.doc_id, r.first_doc_id): (r.start, r.end) for r in chaining.passages(frame(spark, docs)).collect()}
+    assert wanted <= got.keys() and all(got[w][0] <= 72 and got[w][1] >= 138 for w in wanted)
+
+
+def test_parts_of_matches_hold_their_chains():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        m = int(rng.integers(2, 40))
+        x, y = rng.integers(0, 600, m), rng.integers(0, 600, m)
+        n = np.full(m, 5)
+        at, part = chaining.parted(np.zeros(m, np.int64), x, y, n)
+        where = dict(zip(at.tolist(), part.tolist(), strict=True))
+        for path in chaining.chains(x.tolist(), y.tolist()):
+            if min(x[path[-1]] - x[path[0]], y[path[-1]] - y[path[0]]) + 5 >= chaining.TELLS:
+                assert len({where[k] for k in path}) == 1
+
+
+def test_couples_against_brute_force():
+    rng = np.random.default_rng(6)
+    doc = np.sort(rng.integers(0, 5, 200))
+    pos = np.concatenate([np.sort(rng.choice(400, (doc == d).sum(), replace=False)) for d in range(5)])
+    h = np.arange(200, dtype=np.int64)  # no seed comes twice
+    i, j, _ = chaining.couples(doc, pos, h)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(200) for b in range(200) if doc[a] == doc[b] and chaining.NEAR <= pos[b] - pos[a] < chaining.FAR}
+    doc, pos, h = np.repeat([0, 1], 50), np.concatenate((np.arange(0, 500, 10), np.arange(7, 507, 10))), np.tile(np.arange(50), 2)
+    i, _, content = chaining.couples(doc, pos, h)
+    assert (content[doc[i] == 0] == content[doc[i] == 1]).all()  # the same seeds at the same distances
+
+
 def test_passages_against_brute_force(spark):
     rng = random.Random(12)
     vocab = [f"{rng.randrange(10**6):x}" for _ in range(3000)]
