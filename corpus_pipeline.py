@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, exact_dedup, jaccard_join, kneser_ney, mixing
 from turnloom.llm.line_dedup import ranked
-from turnloom.llm.shared import drop, is_scan, recorded, release, stored
+from turnloom.llm.shared import drop, is_scan, recorded, release, shrink_executors, stored
 from turnloom.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,6 +36,7 @@ def _stage(f):
                 drop(spark, path)
         _left.clear()
         release(spark)
+        shrink_executors(spark)
         with recorded() as made:
             out = f(spark, docs, sf_dir)
         _left.extend(made)

@@ -196,6 +196,20 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert len(mixed) == 6 and all(mixed.count(t) <= 2 for t in mixed)
 
 
+def test_a_stage_of_the_pipeline_shrinks_the_executors_first(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    spark.sparkContext.setJobGroup("stage-start", "")
+    corpus_pipeline.token_stage(spark, docs, "")  # its result is not asked for: no other job
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("stage-start")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) >= 1
+    stage = spark.sparkContext.statusTracker().getStageInfo(spark.sparkContext.statusTracker().getJobInfo(jobs[0]).stageIds[0])
+    assert stage.numTasks == spark.sparkContext.defaultParallelism
+
+
 def test_mixing(spark, rows):
     out, aims = mixing.mix(frame(spark, rows))
     got, aims = out.collect(), {r.source: (r.source_size, r.target) for r in aims.collect()}

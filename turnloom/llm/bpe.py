@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import table
+from .shared import trim
 
 CACHE = 400_000  # words and chunks kept from one block to the next
 BLOCK = 1 << 23  # characters of text whose words are encoded together
@@ -241,6 +242,7 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     gives an empty result. The vocabulary's path must be readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encoder = Encoder(path)
         was = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the collector would walk the cache again and again
