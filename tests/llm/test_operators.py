@@ -65,6 +65,50 @@ def test_jaccard_components(spark, rows):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_sets_meet_once_and_no_pair_is_lost(spark):
+    rng = random.Random(17)
+    lists = []
+    for family in range(6):
+        base = rng.sample(range(1000 * family, 1000 * family + 60), 40)
+        for k in range(5):
+            n = rng.randint(30, 40)
+            # By another doc_id each, and one that holds two sets; the order of the keys is the same in all.
+            own = sorted({*rng.sample(base, n - 8), *(1000 * family + 100 + rng.randrange(30) for _ in range(8))})
+            lists += [(t, 10 * family + min(k, 3), len(own), len(own) - i) for i, t in enumerate(own)]
+    got = jaccard_join._after(spark.createDataFrame(lists, "token long, id long, n int, room int"), 8).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r.token, []).append(r)
+    fits = lambda x, y: 4 * x.n >= 3 * y.n and 4 * y.n >= 3 * x.n and 7 * min(x.room, y.room) >= 3 * (x.n + y.n)
+    met = [(x.id, y.id, not {*x.before} & {*y.before}) for same in lists.values() for x, y in itertools.combinations(sorted(same), 2) if x.id < y.id and fits(x, y)]
+    assert {m[:2] for m in met} == {m[:2] for m in met if m[2]}
+    assert len(met) > 2 * sum(m[2] for m in met) > 0
+    # Subsets of small sets are in no order that other sets follow.
+    assert all(not r.before for r in jaccard_join._after(spark.createDataFrame([(t, 1, 8, 8) for t in range(9)], "token long, id long, n int, room int"), 8).collect())
+
+
+def test_jaccard_components_of_families_of_large_sets(spark):
+    rng = random.Random(23)
+    vocab = [f"w{i}" for i in range(300)]
+    docs = []
+    for family in range(8):
+        base = [rng.choice(vocab) for _ in range(rng.choice([30, 90, 250]))]
+        for k in range(9):
+            own = list(base)
+            for _ in range(rng.randint(0, len(own) // 25)):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            docs.append((9 * family + k, " ".join(own)))
+    rng.shuffle(docs)
+    docs.sort(key=lambda d: d[0] % 2)
+    sets = [shingles(d[1]) for d in docs]
+    want = roots(len(docs), [(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    ids: dict = {}
+    for d, r in zip(docs, want, strict=True):
+        ids[r] = min(ids.get(r, d[0]), d[0])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, docs)).collect()}
+    assert got == {d[0]: ids[r] for d, r in zip(docs, want, strict=True)} and 8 < len(set(got.values())) < len(docs)
+
+
 def test_exact_dedup(spark, rows):
     got = sorted((tuple(r) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()), key=str)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
