@@ -359,6 +359,16 @@ def test_quality_rejects_junk(spark):
     assert all(kept[i] for i in range(20)) and not kept[100] and not kept[101] and kept[102]
 
 
+def test_each_pass_of_the_quality_model_shrinks_the_executors_first(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    docs = frame(spark, [(i, f"the cat sat on the mat {i}", "en") for i in range(12)])
+    order, stored, shrink = [], kneser_ney.stored, kneser_ney.shrink_executors
+    monkeypatch.setattr(kneser_ney, "stored", lambda df, name, **k: order.append(name) or stored(df, name, **k))
+    monkeypatch.setattr(kneser_ney, "shrink_executors", lambda s: order.append("shrink") or shrink(s))
+    assert kneser_ney.quality(docs, labels).count() == 12
+    assert all(order[order.index(name) - 1] == "shrink" for name in ("kn-keys", "kn-answers", "kn-scores"))
+
+
 def test_kneser_ney_sees_word_order_and_repetition(spark):
     rng = random.Random(8)
     pick = lambda *ws: rng.choice(ws)

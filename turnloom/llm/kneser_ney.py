@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import words
-from .shared import drop, files_of, release, stored
+from .shared import drop, files_of, release, shrink_executors, stored, trim
 from .splits import at, by_split, column, dealt, flat, lists, runs_of, summed
 
 ORDER = 5
@@ -114,6 +114,7 @@ def _keys(shards: int, order: int):
     """Of each chunk, by language and half, the different n-grams with their counts, dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         held: dict[tuple[str, int], Tally] = {}
         last = None
 
@@ -172,6 +173,7 @@ def _merge(order: int):
         return pa.RecordBatch.from_arrays(cols, names=["shard", "lang", "keys", "n0", "n1", "variant", "low", "times", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         last, parts = None, []
         for where, rows in runs_of(batches, "shard", "lang", "half"):
             if where[:2] != last:
@@ -249,6 +251,7 @@ def _answers(small: dict, order: int):
     """Joins a shard's model with the n-grams that chunks ask for. small: (lang, variant) -> orders 1 and 2, discounts of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         where, models = None, {}
         for (shard, lang, asked), rows in runs_of(batches, "shard", "lang", "asked"):
             if (shard, lang) != where:
@@ -279,6 +282,7 @@ def _score(folder: str, order: int):
     """Per row the sum of its n-grams' log probabilities, its bytes and the share of words that repeat the one before; then columns 4 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         last, known = None, {}
         for b in batches:
             logp, size, again = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
@@ -316,6 +320,7 @@ def scored(rows: DataFrame, carry: list[str], order: int = ORDER) -> DataFrame:
     spark = rows.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("chunk", "lang", "half", "text", *carry)
+    shrink_executors(spark)
     keys, keys_at = stored(rows.select("chunk", "lang", "half", "text").mapInArrow(_keys(shards, order), KEYS), "kn-keys")
     dealt = keys.where(f"half <> {NOT_TRUSTED}").select("shard", "lang", "half", "keys", "n").repartition(shards, "shard").sortWithinPartitions("shard", "lang", "half")
     model, model_at = stored(dealt.mapInArrow(_merge(order), MODEL), "kn-model")
@@ -325,11 +330,13 @@ def scored(rows: DataFrame, carry: list[str], order: int = ORDER) -> DataFrame:
     empty = F.array().cast("array<long>")
     asked = keys.select("shard", "lang", F.lit(True).alias("asked"), "chunk", "half", "keys", empty.alias("n"), empty.alias("n1"))
     both = known.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "lang", "asked")
+    shrink_executors(spark)
     answers = both.mapInArrow(_answers(small, order), ANSWERS)
     _, answers_at = stored(answers.repartition(shards, "chunk"), "kn-answers", partition="chunk")
     drop(spark, keys_at)
     drop(spark, model_at)
     release(spark)
+    shrink_executors(spark)
     types = dict(rows.dtypes)
     out = rows.mapInArrow(_score(answers_at, order), ", ".join(["logp double", "n_bytes long", "repeats double", *(f"`{c}` {types[c]}" for c in carry)]))
     out, _ = stored(out, "kn-scores")
