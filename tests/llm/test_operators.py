@@ -496,6 +496,22 @@ def test_passages_meet_any_document_behind_partial_ones(spark):
     assert wanted <= got.keys() and all(got[w][0] <= 72 and got[w][1] >= 138 for w in wanted)
 
 
+def test_chains_of_many_anchors_at_few_places():
+    rng = random.Random(15)
+    x, y = [rng.randrange(3) * 30 for _ in range(400)], [rng.randrange(3000) for _ in range(400)]
+    n = [rng.randint(5, 30) for _ in range(400)]
+    best = {}
+    for i in sorted(range(400), key=lambda i: (x[i], y[i])):
+        best[i] = float(n[i])
+        for j in best:
+            gx, gy = x[i] - x[j] - n[j], y[i] - y[j] - n[j]
+            over = max(0, -gx, -gy)
+            if x[j] < x[i] and y[j] < y[i] and max(gx, gy) <= chaining.BREAK and over < n[i]:
+                best[i] = max(best[i], n[i] + best[j] - chaining.GAP * abs(gx - gy) - chaining.SKIP * max(0, gx) - over)
+    for worth, path in chaining.scored(x, y, n):
+        assert abs(worth - best[path[-1]]) < 1e-9
+
+
 def test_parts_of_matches_hold_their_chains():
     rng = np.random.default_rng(5)
     for _ in range(200):
