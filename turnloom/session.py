@@ -22,3 +22,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "turnloo
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A driver table; the path may be any URI that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shards(spark: SparkSession) -> int:
+    """Partitions for rows that take much time and few bytes: given by number, as by size they would be joined into a task or two."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

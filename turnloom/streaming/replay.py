@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.turns import Turn
 from ..functions.voices import unit
 from ..plans.views import CHAR_MS, CONTEXT_MS, STEP_MS
+from ..session import shards
 from .binding import Heard, ModelBinder
 from .ledger import Ledger
 
@@ -105,14 +106,14 @@ def revision_ledger(dialog: DataFrame) -> DataFrame:
     Recordings are independent and dealt by a hash; a recording is a sequence by nature, replayed by one task as a stream of sorted rows.
     Rows without rec or times are left out; a null label is UNK, a null text empty, which publishes nothing."""
     rows = dialog.where("rec is not null and start_ms is not null and end_ms is not null").select("rec", "start_ms", "end_ms", "label", "text")
-    return rows.repartition("rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay(False), OUT)
+    return rows.repartition(shards(rows.sparkSession), "rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay(False), OUT)
 
 
 def published_speakers(dialog: DataFrame) -> DataFrame:
     """As revision_ledger, of dialog with a voice a turn (null: none): what a tick publishes has its lasting label from the identity model, in
     the same step."""
     rows = dialog.where("rec is not null and start_ms is not null and end_ms is not null").select("rec", "start_ms", "end_ms", "label", "text", "voice")
-    return rows.repartition("rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay(True), OUT)
+    return rows.repartition(shards(rows.sparkSession), "rec").sortWithinPartitions("rec", "start_ms", "end_ms", "label", "text").mapInArrow(_replay(True), OUT)
 
 
 def snapshots(dialog: DataFrame) -> DataFrame:
