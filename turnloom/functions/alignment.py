@@ -73,8 +73,11 @@ def revision(t: Turn, p: Turn) -> float | None:
     x, y = len(t.norm), len(p.norm)
     if min(x, y) < 4:
         return None
-    s, overlap, ratio = similarity(t, p), iou(t, p), min(x, y) / max(x, y)
-    return s + ratio + overlap if s >= 0.82 and ratio >= 0.80 and overlap >= 0.75 else None
+    overlap, ratio = iou(t, p), min(x, y) / max(x, y)
+    if ratio < 0.80 or overlap < 0.75:  # before the texts are compared, which costs most
+        return None
+    s = similarity(t, p)
+    return s + ratio + overlap if s >= 0.82 else None
 
 
 def revisions(current: Mapping[str, Turn], pending: Mapping[str, Turn]) -> dict[str, str]:

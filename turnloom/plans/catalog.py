@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import shards, table
 from .views import DUCK, SPARK, TABLES
 
 ENTRIES: dict[str, tuple[str, str]] = {}
@@ -76,7 +76,7 @@ def _resolver(spark: SparkSession, sf_dir: str):
         for v in sorted(set(re.findall(r"\$(\w+)", text))):
             if v not in made:
                 made.add(v)
-                df = table(spark, sf_dir, v) if v in TABLES else spark.sql(resolve(expand(SPARK[v], 0)))
+                df = table(spark, sf_dir, v) if v in TABLES else spark.sql(resolve(expand(SPARK[v], 0).replace("#SHARDS", str(shards(spark)))))
                 df.createOrReplaceTempView(f"turnloom_{v}")
         return re.sub(r"\$(\w+)", r"turnloom_\1", text)
 

@@ -60,4 +60,11 @@ SPARK["parts"] = "SELECT id, label, d, x FROM $units LATERAL VIEW posexplode(u)
 DUCK["parts"] = "SELECT id, label, unnest(range(len(u))) AS d, unnest(u) AS x FROM $units"
 SPARK |= _COMMON
 DUCK |= _COMMON
+# Spark meets windows and turns by bins as long as a window, once, in the bin where the later of the two begins: by recording alone a long
+# one would compare all its windows with all its turns, in one task.
+_MET = f"""(SELECT /*+ REPARTITION(#SHARDS, rec, b) */ rec, tick_ms, from_ms, stop_ms, b FROM $windows LATERAL VIEW explode(sequence(from_ms div {CONTEXT_MS}, greatest(from_ms, tick_ms - 1) div {CONTEXT_MS})) e AS b) w
+ JOIN (SELECT /*+ REPARTITION(#SHARDS, rec, b) */ rec, turn, label, text, start_ms, end_ms, b FROM $dialog LATERAL VIEW explode(sequence(start_ms div {CONTEXT_MS}, greatest(start_ms, end_ms - 1) div {CONTEXT_MS})) e AS b) d
+ ON w.rec = d.rec AND w.b = d.b AND d.start_ms < w.tick_ms AND d.end_ms > w.from_ms AND w.b = greatest(d.start_ms, w.from_ms) div {CONTEXT_MS}"""
+for _name in ("snapshots", "revised"):
+    SPARK[_name] = _COMMON[_name].replace("$windows w JOIN $dialog d ON w.rec = d.rec AND d.start_ms < w.tick_ms AND d.end_ms > w.from_ms", _MET)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
