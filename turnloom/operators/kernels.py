@@ -19,8 +19,11 @@ from ..functions.matching import assign
 from ..functions.voices import Calibrator, constrained
 from ..identity.evidence import Candidate, VoiceProfile
 from ..plans import catalog
+from ..session import shards
 from ..streaming import binding, ledger, replay
 
+#: What Python's \\s matches.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 LEAST_COSINE = 0.1  # of the calibration query: the vectors of one class are less alike than one voice's
 
 # Types, not texts: a text is parsed by a running Spark, which an import may not need.
@@ -86,7 +89,10 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repetition_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that end in a runaway loop; every fourth one is given such an end."""
     t = _view(spark, sf_dir, "texts").withColumn("text", F.when(F.col("id") % 4 == 0, F.concat("text", F.repeat(F.lit("ha "), (F.col("id") % 16).cast("int")))).otherwise(F.col("text")))
-    return t.where(repeats("text")).select("id")
+    # Only the last characters that are no space decide, so long texts stay out of Python. Most have enough of them in a short end.
+    near, bare = F.right("text", F.lit(2 * T.LOOP_TAIL)), lambda c: F.right(F.regexp_replace(c, SPACES, ""), F.lit(T.LOOP_TAIL))
+    tail = F.when((F.length("text") <= 2 * T.LOOP_TAIL) | (F.length(bare(near)) >= T.LOOP_TAIL), bare(near)).otherwise(bare(F.col("text")))
+    return t.where(repeats(tail)).select("id")
 
 
 def marker_text_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +103,20 @@ def marker_text_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.where(short_text_loop("raw")).select("rec")
 
 
+WINDOWS = 200  # rows of nested turns that are Python objects at a time
+
+
+def _few(how):
+    """how(parts of pandas), fed from Arrow by a few rows at a time: a row is a window's turns, and a batch of them as objects is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (pd.DataFrame({n: c.to_pylist() for n, c in zip(b.schema.names, b.slice(i, WINDOWS).columns, strict=True)}) for b in batches for i in range(0, b.num_rows, WINDOWS))
+        for p in how(parts):
+            yield pa.RecordBatch.from_pandas(p, preserve_index=False)
+
+    return run
+
+
 def _assigned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         out = []
@@ -206,10 +226,10 @@ def _matched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pending_revision_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a snapshot that revise a turn that the snapshot before showed cut short."""
     turns = F.collect_list(F.struct("turn", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "text"))
-    r = _view(spark, sf_dir, "revised")
-    now = r.groupBy("rec", "tick_ms").agg(turns.alias("now"))
-    then = r.where("not whole").groupBy("rec", (F.col("tick_ms") + 2000).alias("tick_ms")).agg(turns.alias("then"))
-    return now.join(then, ["rec", "tick_ms"]).mapInPandas(_matched, "rec long, tick_ms long, turn long, pending long")
+    r, dealt = _view(spark, sf_dir, "revised"), (shards(spark), "rec", "tick_ms")
+    now = r.repartition(*dealt).groupBy("rec", "tick_ms").agg(turns.alias("now"))
+    then = r.where("not whole").withColumn("tick_ms", F.col("tick_ms") + 2000).repartition(*dealt).groupBy("rec", "tick_ms").agg(turns.alias("then"))
+    return now.join(then, ["rec", "tick_ms"]).mapInArrow(_few(_matched), "rec long, tick_ms long, turn long, pending long")
 
 
 def _deduped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,8 +245,8 @@ def snapshot_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each snapshot without repeated segmentations of one utterance; every third turn is shown twice, the second time cut by a tenth."""
     r = _view(spark, sf_dir, "revised").select("rec", "tick_ms", "turn", "local", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "text")
     again = r.where("turn % 3 = 0 and e - s >= 10").withColumn("e", F.col("e") - F.floor((F.col("e") - F.col("s")) / 10)).withColumn("text", F.expr("substring(text, 1, cast(length(text) * 0.9 as int))"))
-    shots = r.union(again).groupBy("rec", "tick_ms").agg(F.collect_list(F.struct("local", "s", "e", "text")).alias("turns"))  # one window's turns
-    return shots.mapInPandas(_deduped, "rec long, tick_ms long, start_ms long, end_ms long, local string")
+    shots = r.union(again).repartition(shards(spark), "rec", "tick_ms").groupBy("rec", "tick_ms").agg(F.collect_list(F.struct("local", "s", "e", "text")).alias("turns"))  # one window's turns
+    return shots.mapInArrow(_few(_deduped), "rec long, tick_ms long, start_ms long, end_ms long, local string")
 
 
 def _aligned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +265,7 @@ def snapshot_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = _view(spark, sf_dir, "revised").groupBy("rec", "tick_ms", "from_ms").agg(turn("local").alias("now"))
     p = _view(spark, sf_dir, "published").select(F.col("rec").alias("r"), "label", "start_ms", "end_ms", "seen_ms", "text")
     then = now.select("rec", "tick_ms", "from_ms").join(p, F.expr("rec = r and seen_ms < tick_ms and end_ms > from_ms")).groupBy("rec", "tick_ms").agg(turn("label").alias("then"))
-    return now.join(then, ["rec", "tick_ms"]).mapInPandas(_aligned, "rec long, tick_ms long, local string, best string, score double, row_margin double, column_margin double, selected string")
+    return now.join(then, ["rec", "tick_ms"]).mapInArrow(_few(_aligned), "rec long, tick_ms long, local string, best string, score double, row_margin double, column_margin double, selected string")
 
 
 def _profiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
