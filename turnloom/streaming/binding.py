@@ -24,6 +24,7 @@ from ..identity.evidence import NATIVE, Evidence, assess, bridge
 from ..identity.model import IdentityModel, Observation, Settings
 from ..identity.registry import Registry, Seen
 from ..identity.registry import Track as KnownTrack
+from ..session import shards
 
 # Fixed values of the policy.
 SAME, PLAIN, OTHER = 0.30, 0.70, 0.90
@@ -301,4 +302,4 @@ def bind(turns: DataFrame, policy: str = "fixed-cosine") -> DataFrame:
         raise ValueError(f"no policy {policy!r}")
     text = F.col("text").cast("string") if "text" in turns.columns else F.lit(None).cast("string")
     rows = turns.where("rec is not null and tick is not null and turn is not null").select("rec", "tick", "turn", "start", "end", "local", "voice", text.alias("text"))
-    return rows.repartition("rec").sortWithinPartitions("rec", "tick", "turn").mapInArrow(_bind(policy), "rec long, turn long, speaker string")
+    return rows.repartition(shards(rows.sparkSession), "rec").sortWithinPartitions("rec", "tick", "turn").mapInArrow(_bind(policy), "rec long, turn long, speaker string")
