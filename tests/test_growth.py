@@ -66,3 +66,51 @@ def test_only_ends_of_texts_go_to_python(spark, tmp_path, monkeypatch):
     got = kernels.repetition_loop(spark, str(tmp_path))
     assert sorted(r.id for r in got.collect()) == [4 * i + 1 for i, t in enumerate(texts) if T.repeats(t or "")]
     assert "right" in got._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_a_text_that_many_ticks_show_is_read_once(spark):
+    shown = catalog.view(spark, AT, "revised")
+    once = catalog.view(spark, AT, "revised_once")
+    assert once.count() < shown.count() / 2
+    for name in catalog.ONCE:
+        got = catalog.queries()[name](spark, AT)
+        assert "collect_list" in got._jdf.queryExecution().analyzed().toString()
+        plain = spark.sql(catalog._resolver(spark, AT)(catalog.expand(catalog.ENTRIES[name][0], 0)))
+        assert got.schema == plain.schema or got.dtypes == plain.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def _both(spark, at, name):
+    """Rows by the query's own plan, and by the text of its entry."""
+    got = catalog.queries()[name](spark, at)
+    plain = spark.sql(catalog._resolver(spark, at)(catalog.expand(catalog.ENTRIES[name][0], 0)))
+    assert got.dtypes == plain.dtypes
+    return got, sorted(map(str, got.collect())), sorted(map(str, plain.collect()))
+
+
+def test_cosines_by_blocks_are_those_of_the_text(spark, tmp_path, monkeypatch):
+    from turnloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    r = random.Random(4)
+    rows = [(i % 40 if i > 44 else i, [r.gauss(0, 1) for _ in range(5)], i % 3) for i in range(50)]
+    rows += [(90, [1.0, 2.0], 0), (91, None, 0), (92, [0.0] * 5, 0), (93, [1.0, None, 0.0, 0.0, 0.0], 1), (94, [float("nan")] * 5, 1), (95, [1.0] * 5, None), (None, [1.0] * 5, 2), (97, [1.0] * 5, 9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, a, b = _both(spark, str(tmp_path), "cosine_pairs")
+    assert a == b and len(a) > 300
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cannot_link_edges", "overlap_exclusions"])
+def test_overlaps_without_pairs_are_those_of_the_text(spark, tmp_path, name):
+    r = random.Random(6)
+    day = "2024-01-0"
+    rows = [(i if i < 190 else i - 100, f"{day}{1 + i % 2} 00:{r.randrange(6):02d}:{r.randrange(60):02d}", 1, r.choice("abc"), float(r.choice([0, 1, 5, 30, 200, -3]))) for i in range(200)]
+    rows += [(300, f"{day}1 00:01:00", 1, None, 9.0), (301, f"{day}1 00:01:00", 1, "a", None), (None, f"{day}1 00:01:00", 1, "a", 9.0), (302, None, 1, "a", 9.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "'' as props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got, a, b = _both(spark, str(tmp_path), name)
+    assert a == b and a
+    if name == "cannot_link_edges":  # pairs of sole ids go through no exchange
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.splitlines()[0].startswith("Union")
