@@ -108,4 +108,4 @@ def overlap_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.union(twins).groupBy("id").agg(F.countDistinct("other").alias("excluded"), F.min("other").alias("first_excluded"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, cannot_link_edges)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, cannot_link_edges, overlap_exclusions)}
