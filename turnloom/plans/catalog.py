@@ -90,7 +90,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Entries that say something of each row of $revised by its text and times alone: said once for all ticks that show the same.
-ONCE: set[str] = set()
+ONCE = {"open_ending", "sentence_terminal", "publication_terminal", "evidence_poor"}
 
 
 def run(name: str):

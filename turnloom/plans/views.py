@@ -68,3 +68,6 @@ _MET = f"""(SELECT /*+ REPARTITION(#SHARDS, rec, b) */ rec, tick_ms, from_ms, st
 for _name in ("snapshots", "revised"):
     SPARK[_name] = _COMMON[_name].replace("$windows w JOIN $dialog d ON w.rec = d.rec AND d.start_ms < w.tick_ms AND d.end_ms > w.from_ms", _MET)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+# What the ticks show, once for all ticks that show the same of a turn: tick_ms is a list. Groups are made before rows are dealt by number.
+SPARK["revised_once"] = """SELECT /*+ REPARTITION(#SHARDS, rec, turn) */ * FROM (
+ SELECT rec, turn, start_ms, end_ms, text, collect_list(tick_ms) AS tick_ms FROM $revised GROUP BY rec, turn, start_ms, end_ms, text) g"""
